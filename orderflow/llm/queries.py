@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, urlfilter
+from . import ann, decontam, langid, linededup, mixing, ngram_join, quality, secrets, urlfilter
 
-QUERIES = {"op3_mix": mixing.op3_mix, "op7_url_filter": urlfilter.op7_url_filter}
-ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op7_url_filter": urlfilter.OP7_SQL}
+QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_mix": mixing.op3_mix,
+    "op5_langid": langid.op5_langid,
+    "op6_quality": quality.op6_quality,
+    "op7_url_filter": urlfilter.op7_url_filter,
+    "op8_decontaminate": decontam.op8_decontaminate,
+    "op9_nearest": ann.op9_nearest,
+    "op10_line_dedup": linededup.op10_line_dedup,
+}
+ORACLE_SQL = {"op2_ngram_join": ngram_join.OP2_SQL, "op3_mix": mixing.OP3_SQL, "op7_url_filter": urlfilter.OP7_SQL}
