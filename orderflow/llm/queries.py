@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, linededup, mixing, ngram_join, quality, secrets, urlfilter
+from . import ann, chat, decontam, langid, linededup, mixing, ngram_join, quality, secrets, urlfilter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_mix": mixing.op3_mix,
+    "op4_chat_format": chat.op4_chat_format,
     "op5_langid": langid.op5_langid,
     "op6_quality": quality.op6_quality,
     "op7_url_filter": urlfilter.op7_url_filter,
