@@ -96,22 +96,22 @@ def predict(docs: DataFrame, model: Classifier | None) -> DataFrame:
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     known = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*names, F.lower("text").alias("_low"), has_letter(F.col("text")).alias("_letter"))
+    rows = docs.select(F.struct(*names).alias("doc"), F.lower("text").alias("low"), has_letter(F.col("text")).alias("letter"))
 
     def run(batches):
         model = known.value
         langs = np.array([*model.langs, UNKNOWN])
         for batch in batches:
-            for part in tokens.slices(batch, "_low", 1 << 20):
+            for part in tokens.slices(batch, "low", 1 << 20):
                 found, best = [], []
                 for i in range(0, part.num_rows, 128):
-                    scores = model.scores(presence(part.column("_low").slice(i, 128)))
+                    scores = model.scores(presence(part.column("low").slice(i, 128)))
                     found.append(scores.argmax(axis=1))
                     best.append(scores.max(axis=1))
-                letter = part.column("_letter").to_numpy(zero_copy_only=False)
+                letter = part.column("letter").to_numpy(zero_copy_only=False)
                 pred = langs[np.where(letter, np.concatenate(found), len(model.langs))]
                 score = np.where(letter, np.clip((1 + np.concatenate(best)) / 2, 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(pred.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.column("doc").flatten(), pa.array(pred.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     schema = docs.select(*names).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
     return rows.mapInArrow(run, schema)
