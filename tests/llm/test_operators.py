@@ -1,0 +1,378 @@
+"""The operators against brute force, planted cases, held-out accuracy and SQL."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from orderflow.llm import ann, chat, decontam, langid, linededup, mixing, ngram_join, quality, secrets, tokens
+from orderflow.llm.common import Scratch, components, prefix_sums
+from orderflow.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(matches, name):
+    matches(QUERIES[name], ORACLE_SQL[name])
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_components_and_prefix_sums(spark):
+    rnd = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(int(a), int(b)) for a, b in rnd.integers(200, 300, (60, 2))]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    groups = lambda label: {frozenset(x for x in got if label(x) == r) for r in {label(x) for x in got}}
+    assert groups(got.get) == groups(find)
+    values = [(int(k), int(v)) for k, v in rnd.integers(0, 50, (200, 2))]
+    out = prefix_sums(spark.createDataFrame(values, "k long, v long"), [F.col("k"), F.col("v")], ["v"], Scratch(spark, "t"))
+    total = 0
+    for n, (r, (k, v)) in enumerate(zip(out.orderBy("row_before").collect(), sorted(values))):
+        assert (r.k, r.v, r.row_before, r.v_before) == (k, v, n, total)
+        total += v
+
+
+# 2: n-gram Jaccard join
+
+
+def sets(text, k=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words)} if 0 < len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+def brute_groups(texts, percent=85):
+    found = [sets(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(found):
+        for j in range(i):
+            both = len(a & found[j])
+            if both and 100 * both >= percent * (len(a) + len(found[j]) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [(len(s), find(i)) for i, s in enumerate(found)]
+
+
+def test_near_copies(spark):
+    """A group of near copies whose members link to some others only, many copies, and a passage that many share."""
+    rnd = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    word = lambda n: [vocabulary[i] for i in rnd.integers(0, 3000, n)]
+    base, passage, texts = word(120), word(60), []
+    for i in range(150):
+        copy = list(base)
+        for at in rnd.integers(0, 120, i % 12):
+            copy[at] = word(1)[0]
+        if i % 5 == 0:
+            del copy[: i // 10]
+        texts.append(" ".join(copy))
+    texts += [" ".join(base)] * 30 + [" ".join(word(20) + passage + word(20)) for _ in range(60)] + [" ".join(word(3)) for _ in range(5)] + ["a b", "A  b", "", "\t", None]
+    want = brute_groups(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(frame, Scratch(spark, "t")).collect()}
+    assert got == dict(enumerate(want))
+    few = ngram_join.LONG
+    try:  # short inverted lists only, and long ones only
+        for ngram_join.LONG in (1, 10**9):
+            again = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(frame, Scratch(spark, "t")).collect()}
+            assert again == got
+    finally:
+        ngram_join.LONG = few
+
+
+# 3: mixing
+
+
+def test_mix_targets(spark):
+    rows = [(i, " ".join(["w"] * (i % 7)), f"s{i % 5}") for i in range(400)] + [(i, "one two", "big") for i in range(400, 1000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark, "t")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+        assert r.taken <= 2 * r.size
+    for rs in by.values():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 0.5 and rs[0].target <= 2 * rs[0].source_size
+        assert sum(r.size for r in rs) == rs[0].source_size
+    assert sum(rs[0].target for rs in by.values()) == pytest.approx(1.5 * sum(r.size for r in out))
+    assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string"), Scratch(spark, "t")).collect()))
+
+
+# 4: chat formatting
+
+
+def transcripts(spark):
+    return chat.sorted_lines(chat.raw_lines(spark.read.parquet(f"{SF}/conversations.parquet")).repartition(5), Scratch(spark, "t"))
+
+
+def test_chat_roles_and_ranges(spark):
+    """Held-out roles are recovered, and a transcript cut into many ranges is decoded as if it were whole."""
+    lines = transcripts(spark)
+    model = chat.train(lines.where(chat.trained_on(F.col("conv_id"))))
+    truth = lines.toPandas()
+    out = chat.recover(lines.drop("role", "begins"), model, Scratch(spark, "t")).toPandas().merge(truth.drop(columns=["conv_id", "line"]), on=["range", "n"])
+    held = out[out.conv_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)]
+    assert (held.state // 2 == held.role.map(chat.ROLES.index)).mean() > 0.9
+    one = lines.withColumn("conv_id", F.lit(7).cast("long")).withColumn("range", (F.col("n") / 40).cast("int"))
+    one = one.withColumn("first", F.when(F.col("n") == F.lit(int(truth.n.min())), 1).otherwise(0))
+    whole = one.orderBy("range", "n").toPandas()
+    want = chat.viterbi(model, model.emissions(whole))
+    got = chat.recover(one.drop("role", "begins"), model, Scratch(spark, "t")).orderBy("range", "n").toPandas()
+    assert got.range.nunique() > 3 and (got.state.to_numpy() == want).all()
+
+
+def test_chat_rendering(spark):
+    rows = [(1, 0, "user", "hello there?"), (1, 1, "assistant", "first line.\nsecond line."), (1, 2, "user", "thanks.")]
+    history = spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id <> 1")
+    out = chat.format_conversations(history.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), Scratch(spark, "t"))
+    text = [r.text for r in out.where("conv_id = 1").orderBy("turn_no").collect()]
+    assert text == ["<|im_start|>user\nhello there?<|im_end|>", "<|im_start|>assistant\nfirst line.\nsecond line.<|im_end|>", "<|im_start|>user\nthanks.<|im_end|>"]
+
+
+# 5: language ID
+
+
+def test_language_accuracy(spark, docs):
+    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert len(held) > 20 and (held.lang == held.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
+    assert (held.held_out == held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    swapped = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")))
+    assert rows_of(langid.identify(swapped)) == rows_of(langid.identify(docs))  # held-out labels are not read
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_kernel_scores():
+    """Scores are those of kernel products with the landmarks."""
+    import pyarrow as pa
+
+    texts = ["the cat sat", "der hund lief", "the dog ran off", "die katze schlief ein"] * 3
+    flags = langid.presence(pa.array(texts))
+    model = langid.Classifier(flags, ["en", "de"] * 6, landmarks=4)
+    grams = [{t.encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)} for t in texts[:4]]
+    assert [int(f.sum()) for f in flags[:4]] == [len(g) for g in grams]
+    assert [model.langs[i] for i in model.scores(flags[:4]).argmax(axis=1)] == ["en", "de", "en", "de"]
+
+
+# 6: quality
+
+
+def brute_kneser_ney(texts, order):
+    """Probability of a gram's last symbol, straight from the definition."""
+    levels = [Counter()]
+    for t in texts:
+        s = [int(quality._CLASS[b]) for b in t.encode()]
+        levels[0].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+
+    def p(gram, level):
+        if not gram:
+            return 1 / 64
+        counts = levels[level]
+        n = [sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [max(0.1, i - (i + 1) * y * b / a) if a and b else 0.75 * i for i, a, b in zip((1, 2, 3), n, n[1:])]
+        cut = lambda c: d[min(c, 3) - 1]
+        around = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not around:
+            return p(gram[1:], level + 1)
+        total = sum(around.values())
+        own = counts[gram] - cut(counts[gram]) if counts[gram] else 0.0
+        return own / total + sum(cut(c) for c in around.values()) / total * p(gram[1:], level + 1)
+
+    return lambda gram: p(gram, 0)
+
+
+def test_kneser_ney(spark):
+    texts = ["the cat sat on the mat. the cat ran.", "a dog sat on a log, the dog ran", "12 cats"]
+    asked = ["the dog sat", "zzz qq", "cat"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + asked)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality.judge(frame, frame.where("doc_id < 3"), Scratch(spark, "t")).collect()}
+    p = brute_kneser_ney(texts, quality.ORDER)
+    for i, t in enumerate(texts + asked):
+        s = [int(quality._CLASS[b]) for b in t.encode()]
+        grams = [tuple(s[j : j + quality.ORDER]) for j in range(len(s) - quality.ORDER + 1)]
+        assert out[i].grams == len(grams)
+        if grams:
+            assert out[i].perplexity == pytest.approx(math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)))
+        else:
+            assert out[i].perplexity is None and not out[i].keep
+
+
+def test_quality_keeps_clean_text(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.judge(docs, labels.where("quality = 1"), Scratch(spark, "t")).join(labels, "doc_id").toPandas()
+    assert out[out.quality == 1].keep.mean() > 0.98 and out[out.quality == 0].keep.mean() < 0.5
+
+
+# 8: decontamination
+
+
+def test_decontamination(spark, docs):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text for r in benchmark.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
+    assert got >= {(d, i) for d, t in texts.items() for i, item in items.items() if item in t}
+    for d, i in got:  # nothing without most of the question
+        question = sets(items[i].rpartition("\n")[0] or items[i], 5)
+        assert len(question & sets(texts[d], 5)) >= 0.4 * len(question)
+    kept = {r.doc_id for r in decontam.clean(docs, benchmark).collect()}
+    assert kept == set(texts) - {d for d, _ in got}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark, items=15).where("question > 0.9").collect()} <= got  # several indexes
+
+
+def test_bm25_is_not_pruned_wrongly():
+    """All passages and items that brute-force BM25 lets pass are candidates, with the same scores."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    words = [f"t{i}" for i in range(150)]
+    text = lambda n: " ".join(words[int(i)] for i in (150 * rnd.random(n) ** 2).astype(int))
+    items = [text(int(n)) for n in rnd.integers(3, 90, 60)]
+    corpus = [text(int(n)) for n in rnd.integers(0, 400, 40)] + [items[i] + " " + text(30) for i in range(10)]
+    index = decontam.Index(list(range(60)), items)
+    with np.errstate(over="ignore"):
+        hashes, at = tokens.words(pa.array(corpus))
+        got = {(t, i, s - at[t]): x for t, i, s, x in zip(*(v.tolist() for v in index.candidates(hashes, at)))}
+    split, df = [Counter(t.split()) for t in items], Counter(w for t in items for w in set(t.split()))
+    mean = sum(sum(c.values()) for c in split) / 60
+
+    def score(query, c):
+        n = sum(c.values())
+        return sum(math.log(1 + (60 - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * (decontam.K1 + 1) / (c[w] + decontam.K1 * (1 - decontam.B + decontam.B * n / mean)) for w in query if c[w])
+
+    want = {}
+    for t, doc in enumerate(corpus):
+        w = doc.split()
+        for start in range(0, max(1, len(w)), decontam.STEP):
+            query = set(w[start : start + 2 * decontam.STEP])
+            for i, c in enumerate(split):
+                n = sum(c.values())
+                x = score(query, c) / (decontam.SHARE * score(set(c), c) * min(1, decontam.STEP / n))
+                if x >= 1:
+                    want[t, i, start] = x
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+# 9: nearest neighbours
+
+
+def test_recall(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    pdf = e.toPandas().sort_values("vec_id")
+    x, ids = np.stack(pdf["embedding"]).astype(float), pdf["vec_id"].to_numpy()
+    out = ann.nearest(e, Scratch(spark, "t")).toPandas()
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = out[out.query_id == ids[q]].sort_values("rank")
+        hits.append(len(set(mine.vec_id) & set(ids[np.lexsort((ids, -s))[:20]])) / 20)
+        assert mine.score.is_monotonic_decreasing and list(mine["rank"]) == list(range(1, 21))
+        assert np.allclose(mine.score, [s[np.flatnonzero(ids == v)[0]] for v in mine.vec_id], atol=1e-12)
+    assert np.mean(hits) >= 0.9
+    exact = ann.nearest(e, Scratch(spark, "t"), share=float(ann.TREES)).toPandas()  # all leaves
+    for q in np.flatnonzero(ids % 20 == 0)[:5]:
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert list(exact[exact.query_id == ids[q]].sort_values("rank").vec_id) == list(ids[np.lexsort((ids, -s))[:20]])
+
+
+# 10: line dedup
+
+
+def simhash(line):
+    votes, words = [0] * 64, [w for w in (x.rstrip(linededup.SIGNS) for x in line.split(" ")) if w]
+    for w in words:
+        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+        for i in range(64):
+            votes[i] += h >> i & 1
+    return sum(1 << i for i in range(64) if 2 * votes[i] > len(words))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def test_line_dedup_by_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    vocabulary = [f"word{i}" for i in range(400)]
+    lines = [" ".join(vocabulary[i] for i in rnd.integers(0, 400, n)) for n in rnd.integers(1, 60, 60)]
+    lines += [x.replace("word1", "word2", 1) for x in lines[:30]] + [x.upper() + "." for x in lines[30:45]] + [x + " end" for x in lines[20:40]] + ["", "--", "***"]
+    docs = [(i, "\n".join(lines[k] for k in rnd.integers(0, len(lines), rnd.integers(1, 12)))) for i in range(60)]
+    spots = [(d, n, x.lower().strip(" ")) for d, t in docs for n, x in enumerate(t.split("\n")) if any(c.isalnum() for c in x)]
+    texts = sorted({s[2] for s in spots})
+    sims, parent = [simhash(t) for t in texts], {t: t for t in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b = texts[j]
+            if (sims[i] ^ sims[j]).bit_count() <= 3 and edits(a, b) <= min(int(0.2 * max(len(a), len(b)) + 1e-9), 400):
+                parent[find(a)] = find(b)
+                near += 1
+    assert near > 5
+    seen, dropped = set(), defaultdict(set)
+    for d, n, x in spots:
+        if find(x) in seen:
+            dropped[d].add(n)
+        seen.add(find(x))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(frame, Scratch(spark, "t")).collect()}
+    assert got == {d: ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in dropped[d]), len(dropped[d])) for d, t in docs}
+
+
+def test_long_line_votes(spark):
+    text = " ".join(f"w{i % 997}" for i in range(40_000))
+    got = linededup.votes(spark.createDataFrame([(1, text)], "doc_id long, text string"), Scratch(spark, "t")).first()
+    assert got.sim % 2**64 == simhash(text)
+
+
+# 1: secrets
+
+
+def test_secret_scan(spark, docs):
+    found = secrets.scan(docs, Scratch(spark, "t")).toPandas()
+    truth = found.value.str.match(r"^(AKIA[0-9A-Z]{16}|[0-9a-f]{18}|[0-9a-f]{40})$")
+    assert truth.sum() > 0 and (found.is_secret == truth).mean() > 0.95
+    planted = [(10_000, "the password=0a1b2c3d4e5f6a7b8c was told"), (10_001, 'in token = "0123456789abcdef0123456789abcdef01234567" of'), (10_002, "card 4016670676581972 and ados.62@mail3.example.com")]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    out = {r.doc_id: r.is_secret for r in secrets.scan(more, Scratch(spark, "t")).where("doc_id >= 10000").collect()}
+    assert out == {10_000: True, 10_001: True, 10_002: False}
