@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one that gives the group its id."""
+    """One document of each group of near-duplicates: the one that gives the group its id.
+
+    Rows that repeat an id are one document; a row without an id cannot be told from others and stays.
+    """
     groups = ngram_join.jaccard_groups(docs, Scratch(spark, "near"))
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
