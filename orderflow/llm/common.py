@@ -107,34 +107,50 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(out, "roots")
 
 
-def linked_groups(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], scratch: Scratch) -> DataFrame:
+def linked_groups(
+    posts: DataFrame, facts: DataFrame, details: DataFrame | None, rank: Column, near: Callable[[Column, Column], Column], close: Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch, once: Callable[[Column, Column, Column], Column] | None = None
+) -> DataFrame:
     """(node, root) over all true links between nodes that share a key, without forming all pairs of a key's nodes.
 
-    ``posts``: key, one, which is a struct whose first fields are rank and node, and hot, which is false only for keys
-    of short lists. ``near(l, r)`` over two such structs says whether the key can prove the pair; a pair that links must
-    be near under one of its keys. ``verify`` takes distinct pairs (a, b) and returns those that are links.
+    ``posts``: key, node, place, hot; hot is false only for keys of short lists. ``facts``: node and what
+    ``rank`` and ``near`` need beside place; ``details``: node and what else ``close`` needs, if anything. ``near(l, r)`` and ``close(l, r)`` must be true for a pair that
+    links under one of its keys at least; ``once(l, r, key)`` may be true for one of these only. ``verify`` takes distinct
+    pairs (a, b), and scratch room, and returns those that are links.
 
-    Each node is first paired with the first node of its key, and what links is contracted. Then every near pair of a
-    key whose nodes are still in different groups is verified. A pair that is never formed joins nodes that are
-    connected already or has no key that can prove it, so the groups are those of all links.
+    Each node is first paired with the first node of its key by rank, and what links is contracted. Then every close
+    pair of nodes that share a key and are still in different groups is verified. A pair that is never formed joins
+    nodes that are connected already or cannot link, so the groups are those of all links.
     """
+    room, node = Scratch(scratch.spark, "links"), F.col("one.node")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    node = F.col("one.node")
     key = W.partitionBy("key")
-    cold = posts.where("not hot").select("key", "one", F.min("one").over(key).alias("first"), F.min(node).over(key).alias("lo"), F.max(node).over(key).alias("hi")).where("lo < hi")
-    firsts = posts.where("hot").groupBy("key").agg(F.min("one").alias("first"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("lo < hi")
-    hot = posts.where("hot").select("key", "one").join(firsts, "key")
-    columns = ("key", "one", "first")
-    shared = scratch.write(cold.select(*columns).unionByName(hot.select(*columns)).distinct(), "shared")
-    star = shared.where(near(F.col("one"), F.col("first"))).where("one.node <> first.node").select(*pair(node, F.col("first.node"))).distinct()
-    links = scratch.write(verify(star), "links")
-    roots = components(links, scratch)
-
-    rooted = shared.select("key", "one", node.alias("node")).join(roots, "node", "left").select("key", "one", F.coalesce("root", "node").alias("root"))
+    ends = (F.min("node").alias("lo"), F.max("node").alias("hi"))
+    cold = posts.where("not hot").select("key", "node", "place", F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi")).where("lo < hi")
+    hot = posts.where("hot").join(posts.where("hot").groupBy("key").agg(*ends).where("lo < hi"), "key")
+    shared = room.write(cold.select("key", "node", "place").unionByName(hot.select("key", "node", "place")), "shared")
+    one = F.struct(rank.alias("rank"), "node", "place", *(c for c in facts.columns if c != "node"))
+    ranked = room.write(shared.join(facts, "node").select("key", one.alias("one")), "ranked")
+    star = ranked.join(ranked.groupBy("key").agg(F.min("one").alias("first")), "key")
+    star = star.where((node != F.col("first.node")) & near(F.col("one"), F.col("first"))).select(*pair(node, F.col("first.node"))).distinct()
+    star = room.write(star, "star")
+    links = room.write(verify(star, room), "links")
+    roots = components(links, room)
+
+    rooted = ranked.select("key", "one", node.alias("node")).join(roots, "node", "left").select("key", "node", "one", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = scratch.write(rooted.join(several, "key"), "mixed")
-    left, right = mixed.select("key", F.col("one").alias("l"), F.col("root").alias("l_root")), mixed.select("key", F.col("one").alias("r"), F.col("root").alias("r_root"))
-    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l_root") != F.col("r_root")) & near(F.col("l"), F.col("r"))
-    across = left.join(right, "key").where(apart).select(*pair(F.col("l.node"), F.col("r.node"))).distinct()
-    more = scratch.write(verify(across.join(star, ["a", "b"], "left_anti")), "links")
-    return roots if more.isEmpty() else components(links.unionByName(more), scratch)
+    mixed = room.write(rooted.join(several, "key"), "mixed")
+    fields = [F.col("root"), *(F.col("one")[c].alias(c) for c in ranked.schema["one"].dataType.names)]
+    if details is not None:
+        more = details.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        mixed = mixed.join(room.write(more, "details"), "node")
+        fields += [F.col(c) for c in details.columns if c != "node"]
+    side = lambda x: mixed.select("key", F.struct(*fields).alias(x))
+    left, right = F.col("l"), F.col("r")
+    apart = (left["node"] < right["node"]) & (left["root"] != right["root"]) & close(left, right)
+    apart = apart & once(left, right, F.col("key")) if once else apart
+    across = side("l").join(side("r"), "key").where(apart).select(*pair(left["node"], right["node"])).distinct()
+    rest = room.write(verify(across.join(star, ["a", "b"], "left_anti"), room), "links")
+    roots = scratch.write(roots if rest.isEmpty() else components(links.unionByName(rest), room), "roots")
+    room.drop()
+    return roots

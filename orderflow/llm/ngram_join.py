@@ -27,6 +27,11 @@ LONG, HOT_LISTS = 12, 1 << 20
 BROADCAST_IDS = 2_000_000
 
 
+#: Bits of a set's parity sketch, in 64-bit words: each shingle flips one bit, so sets differ in as many members at least
+#: as their sketches differ in bits.
+SKETCH = 4
+
+
 def _short(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -39,6 +44,11 @@ def _node(s: np.ndarray) -> int | None:
         return int(tokens.mix64(tokens.mix64(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         yield from tokens.shingles(*tokens.words(texts), k)
@@ -74,7 +84,7 @@ def _signatures(hot, k: int, percent: int):
         long_lists = hot.value
         for batch in batches:
             for part in tokens.slices(batch, "text"):
-                sizes, nodes, cold, short = [], [], [], []
+                sizes, nodes, cold, short, sketches = [], [], [], [], []
                 for s in _sets(part.column("text"), k):
                     want = _short(len(s), percent) if len(s) else 0
                     lead = s[: 2 * want]  # usually enough lists that are not long
@@ -90,9 +100,11 @@ def _signatures(hot, k: int, percent: int):
                     sizes.append(len(s))
                     nodes.append(_node(s))
                     cold.append(len(kept))
+                    sketches.append(_sketch(s))
                     short.append(np.concatenate([kept, lead[is_hot][: want - len(kept)]]).view(np.int64))
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, short)]).astype(np.int32), pa.array(np.concatenate(short) if short else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cold, pa.int32()), lists], ["doc_id", "size", "node", "cold", "lists"])
+                sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sketches)), SKETCH).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cold, pa.int32()), lists, sketch], ["doc_id", "size", "node", "cold", "lists", "sketch"])
 
     return run
 
@@ -153,32 +165,40 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, k: int = WORDS, percent: i
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     hot = spark.sparkContext.broadcast(long_lists(docs, k, percent, scratch))
-    signed = scratch.write(docs.mapInArrow(_signatures(hot, k, percent), "doc_id long, size long, node long, cold int, lists array<long>"), "signed")
-    own = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    each = signed.where("node is not null").select("node", "size", "cold", "lists").dropDuplicates(["node"])
-    posts = each.select("node", "size", "cold", F.posexplode("lists").alias("rank", "key"))
-    posts = posts.select("key", F.struct("rank", "node", "size").alias("one"), (F.col("rank") >= F.col("cold")).alias("hot"))
+    signed = scratch.write(docs.mapInArrow(_signatures(hot, k, percent), "doc_id long, size long, node long, cold int, lists array<long>, sketch array<long>"), "signed")
+    named = signed.where("node is not null")
+    own = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    each = named.select("node", "cold", "lists").dropDuplicates(["node"])
+    posts = each.select("node", "cold", F.posexplode("lists").alias("place", "key")).select("key", "node", "place", (F.col("place") >= F.col("cold")).alias("hot"))
+    facts = named.groupBy("node").agg(F.max("size").alias("size"))
+    details = named.select("node", "sketch")
 
     def near(x: Column, y: Column) -> Column:
         """Sizes fit, and enough shingles are left from here on, if this is the first list that both are in."""
-        common = F.least(x["size"] - x["rank"], y["size"] - y["rank"])
-        return (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])) & ((100 + percent) * common >= percent * (x["size"] + y["size"]))
+        common = F.least(x["size"] - x["place"], y["size"] - y["place"])
+        sized = 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+        return sized & ((100 + percent) * common >= percent * (x["size"] + y["size"]))
+
+    def close(x: Column, y: Column) -> Column:
+        """Near, and no more members are known to differ than may differ."""
+        differ = sum(F.bit_count(F.get(x["sketch"], F.lit(i)).bitwiseXOR(F.get(y["sketch"], F.lit(i)))) for i in range(SKETCH))
+        return near(x, y) & ((100 + percent) * differ <= (100 - percent) * (x["size"] + y["size"]))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.write(pairs, "pairs")
+    def verify(pairs: DataFrame, room: Scratch) -> DataFrame:
+        pairs = room.write(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = scratch.write(nodes.join(own, "node"), "wanted")
+        wanted = room.write(nodes.join(own, "node"), "wanted")
         ids = wanted.select("doc_id").distinct()
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         found = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi").select("text")
         texts = found.mapInArrow(_named(k), "node long, text string").join(wanted.select("node"), "node").dropDuplicates(["node"])
-        texts = scratch.write(texts, "texts")
+        texts = room.write(texts, "texts")
         for end in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")), end)
         return pairs.mapInArrow(_linked(k, percent), "a long, b long")
 
-    roots = linked_groups(posts, verify, near, scratch)
+    roots = linked_groups(posts, facts, details, F.col("place"), near, close, verify, scratch)
     grouped = signed.select("doc_id", "size", "node").join(roots, "node", "left").select("doc_id", "size", F.coalesce("root", "node").alias("root"))
     grouped = scratch.write(grouped, "grouped")
     least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
