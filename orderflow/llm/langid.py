@@ -46,12 +46,14 @@ class Classifier:
 
     def __init__(self, flags: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5):
         self.langs = sorted(set(langs))
-        x = flags.astype(np.float64) / np.sqrt(np.maximum(1, flags.sum(axis=1, keepdims=True)))
-        marks = x[np.random.default_rng(seed).permutation(len(x))[:landmarks]]
+        scale = 1 / np.sqrt(np.maximum(1, flags.sum(axis=1, dtype=np.int64)))
+        unit = lambda rows: flags[rows] * scale[rows, None]  # noqa: E731  a few rows at a time: they are much larger so
+        marks = unit(np.random.default_rng(seed).permutation(len(flags))[:landmarks])
+        near = np.vstack([unit(np.arange(i, min(i + 256, len(flags)))) @ marks.T for i in range(0, len(flags), 256)])
         values, vectors = np.linalg.eigh(marks @ marks.T)
         kept = values > 1e-8 * max(values.max(), 1e-12)
         root = vectors[:, kept] / np.sqrt(values[kept])
-        phi = np.hstack([(x @ marks.T) @ root, np.ones((len(x), 1))])
+        phi = np.hstack([near @ root, np.ones((len(near), 1))])
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         fit = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]) * np.append(np.ones(phi.shape[1] - 1), 1e-6), phi.T @ y)
         self.weights = (marks.T @ (root @ fit[:-1])).astype(np.float32)
