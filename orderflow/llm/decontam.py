@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,11 @@ GRAM, BLOCK, K1, B = 5, 16, 1.2, 0.75
 ITEMS = 20_000
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Lower-cased in all scripts, every run of signs one space; items and passages are compared in this form."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", " ")
+
+
 def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions starts[i] ... starts[i] + counts[i] - 1, one run after the other."""
     ends = np.cumsum(counts)
@@ -39,11 +45,11 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str]):
         with np.errstate(over="ignore"):
-            hashes, at = tokens.words(pa.array(texts, pa.string()))
+            hashes, at = tokens.words(plain(pa.array(texts, pa.string())))
             parts = [re.split(r"\n", t.strip()) for t in texts]
             parts = [p if len(p) > 1 else re.split(r"(?<=[.!?])\s+", p[0]) for p in parts]
-            answers, answer_at = tokens.words(pa.array([p[-1] if len(p) > 1 else "" for p in parts], pa.string()))
-            question, question_at = tokens.words(pa.array(["\n".join(p[:-1] or p) for p in parts], pa.string()))
+            answers, answer_at = tokens.words(plain(pa.array([p[-1] if len(p) > 1 else "" for p in parts], pa.string())))
+            question, question_at = tokens.words(plain(pa.array(["\n".join(p[:-1] or p) for p in parts], pa.string())))
             self.grams = list(tokens.shingles(question, question_at, GRAM))
         self.answers = [np.unique(answers[a:b]) for a, b in zip(answer_at[:-1], answer_at[1:])]
         self.short = np.minimum(np.diff(question_at), GRAM)
@@ -116,7 +122,7 @@ class Index:
         """(text, item) -> best relative score, question share, answer share of all that verify."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
         with np.errstate(over="ignore"):
-            hashes, at = tokens.words(texts)
+            hashes, at = tokens.words(plain(texts))
             for text, item, start, score in zip(*(x.tolist() for x in self.candidates(hashes, at))):
                 more = max(0, int(self.long[item]) - STEP)
                 q, a = self.verify(hashes, max(int(at[text]), start - more), min(int(at[text + 1]), start + 2 * STEP + more), item)
@@ -141,7 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
     score is the best passage's BM25 score divided by the item's threshold (1 or more); question and answer are the
     shares of the item's 5-grams and last sentence (its last line, if it has several) that stand around the passage.
 
-    Null, empty or wordless texts and items match nothing. Null doc_id: the row comes with null. Null item_id: -1.
+    Words are compared lower-cased in all scripts, and signs separate them. Null, empty or wordless texts and items match
+    nothing. Null doc_id: the row comes with null. Null item_id: -1.
     Repeated rows and repeated items match each on their own. Empty tables give no rows. Other columns are not read.
     Texts of any length are cut into passages as a whole.
     """
