@@ -1,5 +1,6 @@
 """What the review of round 1 found missing."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderflow.llm import decontam
@@ -12,3 +13,16 @@ def test_items_in_capitals_and_with_signs(spark):
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(docs, items).collect()} == {1, 2, 3}
     assert [r.doc_id for r in decontam.clean(docs, items).select(F.col("doc_id")).collect()] == [4]
+
+
+def test_quality_blocks_ask_under_their_own_number():
+    import pyarrow as pa
+
+    from orderflow.llm import quality
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array([f"text {chr(97 + i)}" for i in range(12)])], ["block", "text"])
+    told = {(b, k) for part in quality._asked([batch]) for b, k in zip(*(c.to_pylist() for c in part.columns))}
+    assert told == {(i, int(k)) for i in range(12) for k in quality.grams(pa.array([f"text {chr(97 + i)}"]))[0]}
+    texts = pa.table({"doc_id": [1], "lang": ["en"], "trusted": [True], "text": ["text a"], "block": [0]})
+    with pytest.raises(ValueError):
+        quality._scored(texts, pa.table({"key": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64())}))
