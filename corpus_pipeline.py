@@ -10,6 +10,8 @@ from orderflow.llm.common import Scratch
 
 #: A text that is like no learned language scores below this (0.5 is the zero of the best language's function).
 LEAST_SCORE = 0.25
+#: Near-duplicates share this percentage of their runs of so many words; op2's own pair is its contract, not the stage's.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id are one document; a row without an id cannot be told from others and stays.
     """
-    groups = ngram_join.jaccard_groups(docs, Scratch(spark, "near"))
+    groups = ngram_join.jaccard_groups(docs, Scratch(spark, "near"), k=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -3,9 +3,17 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from orderflow.llm import decontam
 
 
+def test_stage_finds_copies_with_text_appended(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:100]), " ".join(words[:122]), " ".join(words[200:300]), " ".join(words[200:330])]  # 0.81 and 0.76
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 3}
+
+
 def test_items_in_capitals_and_with_signs(spark):
     item = "mañana el niño verá élan über años dónde está señor último día aquí también\nla respuesta será así"
     docs = [(1, item.upper()), (2, item.replace(" ", ",!! ")), (3, "¿" + item.replace(" ", " «")), (4, "nada de eso está aquí")]
