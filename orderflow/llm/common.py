@@ -4,27 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cut import shared_folder
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 class Scratch:
     """Tables of one run, written to the shared folder so that later steps neither repeat nor lose their work.
 
@@ -33,7 +24,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/orderflow-{name}-{uuid.uuid4().hex}"
+        self.root = shared_folder(spark, name)
         self._n = 0
         atexit.register(self.drop)
 
