@@ -11,8 +11,13 @@ from .common import Scratch
 
 #: (host, path prefix, verdict); a rule fits its host and all subdomains.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Rank is counted in whole units, so that sums are exact in any order. DAMPING in percent.
-MASS, DAMPING, ROUNDS = 10**12, 85, 8
+#: Rank is counted in whole units, so that sums are exact in any order; 85 times MASS fits a long. DAMPING in percent.
+MASS, DAMPING = 10**17, 85
+#: Rounds end when ranks change by this part of all mass at most.
+TOLERANCE = 100
+#: Second labels below which a country registers names: co.uk and the like are no owner's domain.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+REGISTRY = rf"^({'|'.join(REGISTRIES)})\.[a-z][a-z]$"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,29 +44,37 @@ def suffixes(host: Column) -> Column:
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """Distinct (src, dst), src <> dst: links in ``html`` to other hosts, and each host with its parent domain, both ways.
 
-    A parent domain has two labels at least, so sites of one owner pass rank on and sites of one country do not.
+    A parent domain has two labels at least and is no country's registry, so sites of one owner pass rank on and sites of
+    one country do not.
     """
     linked = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst")).select("src", ascii_lower(F.col("dst")).alias("dst"))
-    up = hosts.select(F.filter(suffixes(F.col("host")), lambda h: F.instr(h, ".") > 0).alias("h"))
+    up = hosts.select(F.filter(suffixes(F.col("host")), lambda h: (F.instr(h, ".") > 0) & ~h.rlike(REGISTRY)).alias("h"))
     up = up.select(F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("h"))), lambda i: F.struct(F.get("h", i - 2).alias("src"), F.get("h", i - 1).alias("dst")))).alias("e")).select("e.*")
     both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return linked.unionByName(both).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): personalised PageRank from ``seeds`` (host, weight) along ``edges`` (src, dst), ``rounds`` rounds."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, tolerance: int = TOLERANCE) -> DataFrame:
+    """(host, rank): personalised PageRank from ``seeds`` (host, weight) along ``edges`` (src, dst).
+
+    Rounds begin with the seeds' own shares and only add to ranks, until a round adds MASS / tolerance at most, so a host
+    at any distance is reached as long as what reaches it counts.
+    """
     total = seeds.agg(F.sum("weight")).first()[0] or 1
-    start = seeds.select("host", F.expr(f"{MASS} * weight div {total}").alias("mass"))
+    start = scratch.write(seeds.select("host", F.expr(f"(cast(weight as decimal(19, 0)) * {MASS}BD) div {total}BD").alias("mass")), "start")
+    kept = start.select("host", F.expr(f"mass * {100 - DAMPING}BD div 100BD").alias("rank"))
     out = scratch.write(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"), "outs")
-    rank = start.select("host", F.col("mass").alias("rank"))
-    for _ in range(rounds):
+    rank, before, held = scratch.write(kept, "rank"), None, 0
+    while True:
+        now = rank.agg(F.sum("rank")).first()[0] or 0
+        if before is not None and now - held <= MASS // tolerance:
+            return rank
         sent = out.join(rank, out.src == rank.host).select(F.col("dst").alias("host"), F.expr(f"(rank * {DAMPING} div 100) div out").alias("rank"))
-        kept = start.select("host", F.expr(f"mass * {100 - DAMPING} div 100").alias("rank"))
+        before, held = rank, now
         rank = scratch.write(sent.unionByName(kept).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-    return rank
 
 
-def judge_urls(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, str]] = RULES, tolerance: int = TOLERANCE) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     The longest rule that fits gives the verdict. Where none fits, the host's trust (rank from the hosts of allowed
@@ -85,8 +98,8 @@ def judge_urls(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, st
     links = pages.select(host.alias("host"), "html")
     edges = scratch.write(host_edges(links, hosts.where("host <> ''")), "edges")
     seeds = lambda v: ruled.where((F.col("best.verdict") == v) & (F.col("host") != "")).groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
-    trust = propagate(edges, seeds("allow"), scratch, rounds).withColumnRenamed("rank", "trust")
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds("block"), scratch, rounds).withColumnRenamed("rank", "distrust")
+    trust = propagate(edges, seeds("allow"), scratch, tolerance).withColumnRenamed("rank", "trust")
+    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds("block"), scratch, tolerance).withColumnRenamed("rank", "distrust")
     score = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
     out = ruled.join(score, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0))).withColumn("distrust", F.coalesce("distrust", F.lit(0)))
     method = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
@@ -97,14 +110,21 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark, "op7"))
 
 
+#: Rounds that the SQL has room for: what is added falls by DAMPING at least, and is below MASS / TOLERANCE by then.
+SQL_ROUNDS = 30
+
+
 def _rank_sql(name: str, src: str, dst: str, verdict: str) -> str:
-    steps = [f"""{name}_o AS (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS outs FROM edges),
-{name}_s AS (SELECT host, CAST({MASS} AS BIGINT) * count(*) // (SELECT count(*) FROM ruled WHERE host <> '' AND best.verdict = '{verdict}') AS mass FROM ruled WHERE host <> '' AND best.verdict = '{verdict}' GROUP BY host),
-{name}_0 AS MATERIALIZED (SELECT host, mass AS rank FROM {name}_s)"""]
-    for i in range(1, ROUNDS + 1):
+    picked = f"FROM ruled WHERE host <> '' AND best.verdict = '{verdict}'"
+    steps = [f"""{name}_o AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS outs FROM edges),
+{name}_s AS MATERIALIZED (SELECT host, CAST(CAST(CAST({MASS} AS HUGEINT) * count(*) // (SELECT count(*) {picked}) AS HUGEINT) * {100 - DAMPING} // 100 AS BIGINT) AS mass {picked} GROUP BY host),
+{name}_0 AS MATERIALIZED (SELECT host, mass AS rank FROM {name}_s), {name}_d0 AS (SELECT CAST({MASS} AS HUGEINT) AS added)"""]
+    for i in range(1, SQL_ROUNDS + 1):
+        more = f"(SELECT added FROM {name}_d{i - 1}) > {MASS // TOLERANCE}"
         steps.append(f"""{name}_{i} AS MATERIALIZED (SELECT host, CAST(sum(rank) AS BIGINT) AS rank FROM (
-  SELECT o.dst AS host, (r.rank * {DAMPING} // 100) // o.outs AS rank FROM {name}_o o JOIN {name}_{i - 1} r ON r.host = o.src
-  UNION ALL SELECT host, mass * {100 - DAMPING} // 100 FROM {name}_s) GROUP BY host)""")
+  SELECT o.dst AS host, (r.rank * {DAMPING} // 100) // o.outs AS rank FROM {name}_o o JOIN {name}_{i - 1} r ON r.host = o.src WHERE {more}
+  UNION ALL SELECT host, mass FROM {name}_s WHERE {more} UNION ALL SELECT host, rank FROM {name}_{i - 1} WHERE NOT ({more})) GROUP BY host),
+{name}_d{i} AS MATERIALIZED (SELECT coalesce((SELECT sum(rank) FROM {name}_{i}), 0) - coalesce((SELECT sum(rank) FROM {name}_{i - 1}), 0) AS added)""")
     return ",\n".join(steps)
 
 
@@ -118,7 +138,7 @@ ruled AS MATERIALIZED (SELECT p.page_id, any_value(p.host) AS host, any_value(p.
    FROM p LEFT JOIN rules r ON (p.host = r.suffix OR ends_with(p.host, '.' || r.suffix)) AND starts_with(p.path, r.prefix) GROUP BY p.page_id),
 hs AS (SELECT DISTINCT host FROM p WHERE host <> ''),
 sfx AS (SELECT [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FOR i IN range(1, len(string_split(host, '.')) + 1)] AS h FROM hs),
-ups AS (SELECT unnest([{{'src': h[i], 'dst': h[i + 1]}} FOR i IN range(1, len(h)) IF contains(h[i + 1], '.')], recursive := true) FROM sfx),
+ups AS (SELECT unnest([{{'src': h[i], 'dst': h[i + 1]}} FOR i IN range(1, len(h)) IF contains(h[i + 1], '.') AND NOT regexp_matches(h[i], '{REGISTRY}') AND NOT regexp_matches(h[i + 1], '{REGISTRY}')], recursive := true) FROM sfx),
 edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
   SELECT src, dst FROM ups UNION ALL SELECT dst, src FROM ups
   UNION ALL SELECT host, {_LOWER.format("unnest(regexp_extract_all(html, " + chr(39) + LINK.replace(chr(39), chr(39) * 2) + chr(39) + ", 1))")} FROM p) WHERE src <> '' AND dst <> '' AND src <> dst),
@@ -127,5 +147,5 @@ edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
 SELECT r.page_id, r.host, r.path, r.best.rule AS rule,
   coalesce(r.best.verdict, CASE WHEN coalesce(b.rank, 0) > coalesce(a.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(a.rank, 0) AS trust, coalesce(b.rank, 0) AS distrust
-FROM ruled r LEFT JOIN a_{ROUNDS} a ON a.host = r.host LEFT JOIN b_{ROUNDS} b ON b.host = r.host
+FROM ruled r LEFT JOIN a_{SQL_ROUNDS} a ON a.host = r.host LEFT JOIN b_{SQL_ROUNDS} b ON b.host = r.host
 """
