@@ -25,8 +25,8 @@ SHARE = 0.5
 #: Least share of the question's 5-grams; of the answer's words; and of 5-grams that tell without the answer.
 QUESTION, ANSWER, ALONE = 0.5, 0.5, 0.8
 GRAM, BLOCK, K1, B = 5, 16, 1.2, 0.75
-#: Items in one index, which is broadcast; more items make more indexes, each a pass of its own.
-ITEMS = 20_000
+#: Items in one index, which is broadcast; more items make more indexes, of which PASS are asked in one scan of the corpus.
+ITEMS, PASS = 20_000, 4
 
 
 def plain(texts: pa.Array) -> pa.Array:
@@ -41,9 +41,13 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Postings by term and block of items, with the greatest impact of each block and term."""
+    """Postings by term and block of items, with the greatest impact of each block and term.
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    ``overall`` holds what counts over the items of all indexes: their number, mean length, and the items of each term (sorted
+    hashes and counts). Without it these items are all.
+    """
+
+    def __init__(self, ids: list[int | None], texts: list[str], overall: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         with np.errstate(over="ignore"):
             hashes, at = tokens.words(plain(pa.array(texts, pa.string())))
             parts = [re.split(r"\n", t.strip()) for t in texts]
@@ -53,14 +57,17 @@ class Index:
             self.grams = list(tokens.shingles(question, question_at, GRAM))
         self.answers = [np.unique(answers[a:b]) for a, b in zip(answer_at[:-1], answer_at[1:])]
         self.short = np.minimum(np.diff(question_at), GRAM)
-        self.ids, self.long = np.array(ids, np.int64), np.diff(at)
+        self.ids, self.long = pa.array(ids, pa.int64()), np.diff(at)
         item = np.repeat(np.arange(len(ids)), self.long)
         self.terms, term = np.unique(hashes, return_inverse=True)
         pair, tf = np.unique(item * max(1, len(self.terms)) + term, return_counts=True)
         item, term = np.divmod(pair, max(1, len(self.terms)))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5))
-        mean = max(1.0, self.long.mean()) if len(ids) else 1.0
+        if overall is None:
+            overall = len(ids), self.long.mean() if len(ids) else 1.0, self.terms, np.bincount(term, minlength=len(self.terms))
+        items, mean, known, df = overall
+        df = df[np.searchsorted(known, self.terms)]
+        idf = np.log(1 + (items - df + 0.5) / (df + 0.5))
+        mean = max(1.0, mean)
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.long[item] / mean))
         self.goal = SHARE * np.bincount(item, impact, len(ids)) * np.minimum(1, STEP / np.maximum(1, self.long))
         impact = impact / np.maximum(self.goal[item], 1e-12)
@@ -132,13 +139,42 @@ class Index:
         return out
 
 
+def _terms(batches):
+    """Distinct words of each item, and the item's length with its first one."""
+    for batch in batches:
+        with np.errstate(over="ignore"):
+            hashes, at = tokens.words(plain(batch.column("text")))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            own = np.unique(hashes[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.where(np.arange(len(own)) == 0, b - a, 0))], ["term", "long"])
+
+
 def indexes(benchmark: DataFrame, items: int = ITEMS):
-    """Broadcast indexes of at most about ``items`` items each (item_id, text); items without words are left out."""
+    """Broadcast indexes of at most about ``items`` items each (item_id, text); items without words are left out.
+
+    Lengths and the items of a term are counted over the whole benchmark, so scores do not depend on ``items``.
+    """
+    spark = benchmark.sparkSession
     rows = benchmark.select("item_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    shards = max(1, -(-rows.count() // items))
+    terms = rows.select("text").mapInArrow(_terms, "term long, long long").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("long").alias("long"))
+    n = rows.count()
+    shards = max(1, -(-n // items))
+    total = terms.agg(F.sum("long")).first()[0] or 0
     for shard in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([-1 if r["item_id"] is None else r["item_id"] for r in part], [r["text"] for r in part]))
+        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
+        held = part.orderBy("item_id", "text").collect()
+        mine = part.select("text").mapInArrow(_terms, "term long, long long").select("term").distinct()
+        table = terms.join(mine, "term", "left_semi").select("term", "df").toPandas()  # bounded by the words of a shard
+        known = table["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        overall = (n, total / max(1, n), known[order], table["df"].to_numpy(np.int64)[order])
+        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in held], [r["text"] for r in held], overall))
+
+
+def passes(benchmark: DataFrame, items: int):
+    """Lists of PASS indexes."""
+    held = list(indexes(benchmark, items))
+    return [held[i : i + PASS] for i in range(0, len(held), PASS)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
@@ -148,21 +184,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
     shares of the item's 5-grams and last sentence (its last line, if it has several) that stand around the passage.
 
     Words are compared lower-cased in all scripts, and signs separate them. Null, empty or wordless texts and items match
-    nothing. Null doc_id: the row comes with null. Null item_id: -1.
+    nothing. Null doc_id or item_id: the row comes with null.
     Repeated rows and repeated items match each on their own. Empty tables give no rows. Other columns are not read.
     Texts of any length are cut into passages as a whole.
     """
     out = None
-    for index in indexes(benchmark, items):
+    for asked in passes(benchmark, items):
 
-        def run(batches, index=index):
+        def run(batches, asked=asked):
             for batch in batches:
                 for part in tokens.slices(batch, "text"):
-                    found = index.value.matches(part.column("text"))
-                    at = [t for t, _ in found]
-                    columns = [part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(index.value.ids[[i for _, i in found]] if found else [], pa.int64())]
-                    columns += [pa.array([v[j] for v in found.values()], pa.float64()) for j in range(3)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question", "answer"])
+                    for index in asked:
+                        found = index.value.matches(part.column("text"))
+                        columns = [part.column("doc_id").take(pa.array([t for t, _ in found], pa.int64())), index.value.ids.take(pa.array([i for _, i in found], pa.int64()))]
+                        columns += [pa.array([v[j] for v in found.values()], pa.float64()) for j in range(3)]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question", "answer"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question double, answer double")
         out = part if out is None else out.unionByName(part)
@@ -170,14 +206,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which ``contaminated`` finds nothing."""
-    for index in indexes(benchmark, items):
+    """The rows of ``docs``, all columns, in which ``contaminated`` finds nothing; its cases hold here as well.
+
+    Rows with a null or wordless text stay, and repeated rows stay or go together.
+    """
+    for asked in passes(benchmark, items):
 
-        def run(batches, index=index):
+        def run(batches, asked=asked):
             for batch in batches:
                 for part in tokens.slices(batch, "text"):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[t for t, _ in index.value.matches(part.column("text"))]] = False
+                    for index in asked:
+                        keep[[t for t, _ in index.value.matches(part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
