@@ -54,34 +54,45 @@ def observe(line: Column) -> list[Column]:
     return [F.coalesce(c, F.lit(0)).cast("int").alias(f) for c, f in zip((marker, long, ending), FEATURES)]
 
 
-def unmarked(line: Column) -> Column:
-    """A line without its speaker marker."""
-    for pattern in MARKERS.values():
-        line = F.regexp_replace(line, pattern, "")
-    return line
+def unmarked(line: Column, role: Column) -> Column:
+    """The first line of a turn without the speaker marker of its role; other markers are text."""
+    out = line
+    for name in ROLES:
+        out = F.when(role == name, F.regexp_replace(line, MARKERS[name], "")).otherwise(out)
+    return out
 
 
 def sorted_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, range, n, line, features, and role and begins where ``lines`` has them, without blank lines.
+    """conv_id, range, n, line, blanks, features, and role and begins where ``lines`` has them.
 
     ``lines``: conv_id, pos (anything sortable), line. They are sorted by transcript and position; range is the number
-    of a line's part of the sorted table, n its place therein.
+    of a line's part of the sorted table, n its place therein. A blank line is no row of its own: blanks is the number
+    of those before a line, also of those in earlier ranges.
     """
     truth = [c for c in ("role", "begins") if c in lines.columns]
     order = [F.col("conv_id").asc_nulls_first(), F.col("pos"), F.col("line")]
     ranged = lines.select("conv_id", "pos", "line", *truth).repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     held = scratch.write(ranged, "ranges")
     w = W.partitionBy("range", "conv_id").orderBy("pos", "line")
-    before = F.lag("line").over(w)
     filled = F.trim("line") != ""
+    behind = w.rowsBetween(W.unboundedPreceding, -1)
+    since = F.coalesce(F.row_number().over(w) - 1 - F.last(F.when(filled, F.col("_nth")), ignorenulls=True).over(behind), F.row_number().over(w) - 1)
+    # blank lines at the end of a part of a transcript count before its first line in a later range
+    tails = held.withColumn("_nth", F.row_number().over(w)).groupBy("range", "conv_id").agg(F.max(F.when(filled, F.col("_nth"))).alias("_last"), F.count(F.lit(1)).alias("_all"))
+    earlier = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    upto = F.coalesce(F.sum("_all").over(earlier), F.lit(0))
+    tails = tails.withColumn("_upto", upto).withColumn("_carried", upto - F.coalesce(F.max(F.when(F.col("_last").isNotNull(), F.col("_upto") + F.col("_last"))).over(earlier), F.lit(0)))
+    tails = scratch.write(tails.select(F.col("range").alias("_range"), F.col("conv_id").alias("_id"), "_carried"), "tails")
     first = F.coalesce(F.count_if(filled).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) == 0
     # a transcript that begins in an earlier range does not begin here
     opening = held.where(filled).groupBy(F.col("conv_id").alias("_conv")).agg(F.min("range").alias("_from"))
     place = F.row_number().over(W.partitionBy("range").orderBy(*order))
-    out = held.select("*", place.alias("n"), F.coalesce(F.trim(before) == "", F.lit(False)).cast("int").alias("gap"), first.alias("_first"))
+    out = held.withColumn("_nth", F.row_number().over(w)).select("*", place.alias("n"), since.alias("blanks"), first.alias("_first"))
+    out = out.join(tails, (F.col("range") == F.col("_range")) & F.col("conv_id").eqNullSafe(F.col("_id")))
+    out = out.withColumn("blanks", F.when(F.col("_first"), F.col("blanks") + F.col("_carried")).otherwise(F.col("blanks")).cast("int")).withColumn("gap", (F.col("blanks") > 0).cast("int"))
     out = out.join(opening, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
     out = out.withColumn("first", (F.col("_first") & (F.col("range") == F.col("_from"))).cast("int")).where("trim(line) <> ''")
-    return scratch.write(out.select("conv_id", "range", "n", "line", *truth, *observe(F.col("line")), "gap", "first"), "lines")
+    return scratch.write(out.select("conv_id", "range", "n", "line", "blanks", *truth, *observe(F.col("line")), "gap", "first"), "lines")
 
 
 def train(lines: DataFrame, smooth: float = 0.5) -> Model:
@@ -153,9 +164,9 @@ def _runs(pdf: pd.DataFrame):
 
 
 def recover(lines: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """conv_id, range, n, line, state for ``sorted_lines``: the best path of each transcript as a whole."""
+    """conv_id, range, n, line, blanks, state for ``sorted_lines``: the best path of each transcript as a whole."""
     known = lines.sparkSession.sparkContext.broadcast(model)
-    columns = ["conv_id", "range", "n", "line", *FEATURES]
+    columns = ["conv_id", "range", "n", "line", "blanks", *FEATURES]
 
     several = lines.groupBy("conv_id").agg(F.min("range").alias("lo"), F.max("range").alias("hi")).where("lo < hi").select(F.col("conv_id").alias("_conv"))
     several = scratch.write(several, "several")  # at most one more than there are ranges
@@ -184,24 +195,27 @@ def recover(lines: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
             enter, leave = pdf["enter"].iloc[a], pdf["leave"].iloc[a]
             whole = pd.isna(leave)
             state[a:b] = viterbi(known.value, score[a:b], None if whole or enter < 0 else int(enter), None if whole else int(leave))
-        return pdf[["conv_id", "range", "n", "line"]].assign(state=state)
+        return pdf[["conv_id", "range", "n", "line", "blanks"]].assign(state=state)
 
     fixed = lines.select(*columns).join(F.broadcast(ends), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range")), "left")
-    return fixed.select(*columns, "enter", "leave").groupBy("range").applyInPandas(decode, "conv_id long, range int, n int, line string, state int")
+    return fixed.select(*columns, "enter", "leave").groupBy("range").applyInPandas(decode, "conv_id long, range int, n int, line string, blanks int, state int")
 
 
 def render(states: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, turn_no, role, n_lines, text: turns in canonical form, ``<|im_start|>role LF text<|im_end|>``."""
+    """conv_id, turn_no, role, n_lines, text: turns in canonical form, ``<|im_start|>role LF text<|im_end|>``.
+
+    A turn keeps its lines as they are, blank ones between them as well; its first line loses the marker of its role.
+    """
     held = scratch.write(states.withColumn("begins", (F.col("state") % 2 == 0).cast("long")), "states")
     inside = W.partitionBy("range", "conv_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = held.groupBy("conv_id", "range").agg(F.sum("begins").alias("n")).select(F.col("conv_id").alias("_conv"), F.col("range").alias("_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("turns"))
     lines = held.withColumn("turn", F.sum("begins").over(inside)).join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range")))
-    lines = lines.select("conv_id", F.greatest(F.lit(1), F.col("turn") + F.col("turns")).alias("turn_no"), F.struct("range", "n").alias("at"), "line", F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int")).alias("role"))
-    turns = lines.groupBy("conv_id", "turn_no").agg(F.array_sort(F.collect_list(F.struct("at", "line", "role"))).alias("all"))
-    text = F.array_join(F.transform("all", lambda x: F.when(x["at"] == F.get("all", F.lit(0))["at"], unmarked(x["line"])).otherwise(x["line"])), "\n")
+    lines = lines.select("conv_id", F.greatest(F.lit(1), F.col("turn") + F.col("turns")).alias("turn_no"), F.struct("range", "n").alias("at"), "line", "blanks", F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int")).alias("role"))
+    turns = lines.groupBy("conv_id", "turn_no").agg(F.array_sort(F.collect_list(F.struct("at", "line", "role", "blanks"))).alias("all"))
+    text = F.array_join(F.transform("all", lambda x: F.when(x["at"] == F.get("all", F.lit(0))["at"], unmarked(x["line"], x["role"])).otherwise(F.concat(F.repeat(F.lit("\n"), x["blanks"]), x["line"]))), "\n")
     role = F.get("all", F.lit(0))["role"]
-    return turns.select("conv_id", "turn_no", role.alias("role"), F.size("all").alias("n_lines"), F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), F.trim(text), F.lit("<|im_end|>")).alias("text"))
+    return turns.select("conv_id", "turn_no", role.alias("role"), F.size("all").alias("n_lines"), F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>")).alias("text"))
 
 
 #: Ways in which the turns of a conversation are written into a raw transcript: system, user, assistant.
