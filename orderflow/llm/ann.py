@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: A leaf holds some LEAF rows, as long as the sample can tell leaves apart (10 levels).
+LEAF = 1_000
 #: Trees are fitted on at most SAMPLE vectors (those with the smallest hashes of their ids); every row is indexed.
 TREES, SAMPLE = 2, 20_000
-#: A query searches leaves until they hold SHARE times as many rows as the table, a row counting once for each tree.
-#: Vectors without clusters need this much for a recall over 0.9; clustered ones do with a small part of it.
-SHARE = 1.2
+#: A query searches leaves until they hold a share of the table's rows, a row counting once for each tree. The share is the
+#: one at which PROBES of the sample find RECALL of their neighbours in the sample: vectors in clusters need a small one,
+#: vectors without need most of the table. A share of as many as there are trees searches everything.
+RECALL, PROBES = 0.96, 200
 #: A task compares at most so many rows with at most so many queries at a time; larger leaves are dealt out in blocks.
 ROWS, QUERIES = 16_000, 4_000
 NEIGHBOURS = 20
@@ -64,6 +67,31 @@ class Forest:
         return found
 
 
+    def budget(self, x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, recall: float = RECALL) -> float:
+        """Share of rows to search: of (placed) ``x``, whose rows ``own`` are the ``queries``, for a recall of the k nearest."""
+        leaf = self.leaves(x)
+        rows, needed = np.bincount(leaf.ravel(), minlength=self.trees * 2**self.depth), []
+        for q, i in zip(queries, own):
+            score = x @ q
+            score[i] = -np.inf
+            near = np.argsort(-score)[:k]
+            order = np.array(self.search(q, rows, np.inf))
+            before = np.zeros(len(rows))
+            before[order] = np.cumsum(rows[order]) - rows[order]
+            needed.append(before[leaf[near]].min(axis=1))
+        return float((np.quantile(np.concatenate(needed), recall) + 1) / len(x)) if needed else 1.0
+
+
+def place(x: np.ndarray, norm: float) -> np.ndarray:
+    """Vectors with one more component, so that all have the same length: inner products order like distances."""
+    return np.hstack([x, np.sqrt(np.maximum(0, norm**2 - (x * x).sum(axis=1)))[:, None]])
+
+
+def aim(x: np.ndarray, norm: float) -> np.ndarray:
+    """Queries on the same sphere; only their direction counts."""
+    return np.hstack([x * (norm / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))])
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -84,9 +112,10 @@ def _rank(queries: pd.DataFrame, rows: pd.DataFrame, k: int):
             yield own, ids[near][order], exact[order]
 
 
-def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIGHBOURS, share: float = SHARE, trees: int = TREES) -> DataFrame:
+def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIGHBOURS, share: float | None = None, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id of ``vectors`` (vec_id, embedding) divisible by ``every`` its k nearest.
 
+    ``share`` of the rows are searched for a query; without it, as many as the sample needs for a recall of RECALL.
     Nearness is the inner product in double precision, summed from the first component on; ties go to the smaller
     vec_id. A query's own id is no candidate. With fewer candidates than k all come.
 
@@ -105,13 +134,19 @@ def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIG
     dim = common["dim"]
     clean = clean.where(F.size("vec") == dim)
     sample = clean.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    depth = min(max(4, int(np.ceil(np.log2(max(1, common["count"] / ROWS))))), 10)
-    forest = Forest(_matrix(sample["vec"]), dim, depth, trees)
+    depth = min(max(4, int(np.ceil(np.log2(max(1, common["count"] / LEAF))))), 10)
+    some = _matrix(sample["vec"])
+    norm = float(np.linalg.norm(some, axis=1).max())
+    placed = place(some, norm)
+    forest = Forest(placed, dim + 1, depth, trees)
+    if share is None:
+        own = np.arange(min(PROBES, len(some)))
+        share = forest.budget(placed, aim(some[own], norm), own, k)
 
     def index(batches):
         for pdf in batches:
             if len(pdf):
-                leaves = forest.leaves(_matrix(pdf["vec"]))
+                leaves = forest.leaves(place(_matrix(pdf["vec"]), norm))
                 yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), trees), "vec": np.repeat(pdf["vec"].to_numpy(), trees), "leaf": leaves.ravel()})
 
     kind = clean.schema["vec"].dataType.simpleString()
@@ -122,7 +157,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIG
 
     def probe(batches):
         for pdf in batches:
-            found = [forest.search(x, rows, enough) for x in _matrix(pdf["vec"])] if len(pdf) else []
+            found = [forest.search(x, rows, enough) for x in aim(_matrix(pdf["vec"]), norm)] if len(pdf) else []
             n = [len(f) for f in found]
             yield pd.DataFrame({"query_id": np.repeat(pdf["id"].to_numpy(), n), "vec": np.repeat(pdf["vec"].to_numpy(), n), "leaf": np.concatenate(found) if sum(n) else np.zeros(0, int)})
 
