@@ -23,14 +23,23 @@ def test_items_in_capitals_and_with_signs(spark):
     assert [r.doc_id for r in decontam.clean(docs, items).select(F.col("doc_id")).collect()] == [4]
 
 
-def test_quality_blocks_ask_under_their_own_number():
+def test_quality_blocks_ask_under_their_own_number(monkeypatch):
     import pyarrow as pa
 
     from orderflow.llm import quality
 
-    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array([f"text {chr(97 + i)}" for i in range(12)])], ["block", "text"])
+    monkeypatch.setattr(quality, "HELD", 30)  # blocks are told before their partition ends
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array([f"text number {chr(97 + i)}" for i in range(12)])], ["block", "text"])
     told = {(b, k) for part in quality._asked([batch]) for b, k in zip(*(c.to_pylist() for c in part.columns))}
-    assert told == {(i, int(k)) for i in range(12) for k in quality.grams(pa.array([f"text {chr(97 + i)}"]))[0]}
+    assert told == {(i, int(k)) for i in range(12) for k in quality.grams(pa.array([f"text number {chr(97 + i)}"]))[0]}
     texts = pa.table({"doc_id": [1], "lang": ["en"], "trusted": [True], "text": ["text a"], "block": [0]})
     with pytest.raises(ValueError):
         quality._scored(texts, pa.table({"key": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64())}))
+
+
+def test_quality_gathers_more_from_more_text(spark):
+    from orderflow.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    grams = lambda df: df.mapInArrow(quality._counts, "key long, c long").select("key").distinct().count()
+    assert grams(docs) > 1.5 * grams(docs.where("doc_id % 5 = 0"))

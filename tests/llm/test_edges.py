@@ -101,8 +101,8 @@ def test_urls(spark):
 def test_decontamination(spark, docs):
     item = "brown fox jumps over the lazy dog\nsecond line"
     items = spark.createDataFrame([(1, item), (1, item), (None, item), (2, ""), (3, None), (4, "fuchs")], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).where("item_id <> 4").collect())
-    assert got == (sorted([(1, -1), (1, 1), (1, 1)] * 2 + [(2, -1), (2, 1), (2, 1)]) if docs.count() else [])
+    got = sorted((r.doc_id, -9 if r.item_id is None else r.item_id) for r in decontam.contaminated(docs, items).where("item_id is null or item_id <> 4").collect())
+    assert got == (sorted([(1, -9), (1, 1), (1, 1)] * 2 + [(2, -9), (2, 1), (2, 1)]) if docs.count() else [])
     left = decontam.clean(docs, items.where("item_id = 1"))
     assert left.columns == docs.columns and left.where("doc_id in (1, 2)").count() == 0 and left.count() == max(0, docs.count() - 3)
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
