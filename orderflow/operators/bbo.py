@@ -6,10 +6,13 @@ import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A slice holds this many sequence numbers; a symbol's slices are folded in parallel.
-SLICE = 2_000
+from ..functions.cut import cut
+
+#: A symbol's changes are cut into slices of about so many, which are folded in parallel.
+SLICE = 50_000
 
 
 class _Side:
@@ -35,30 +38,58 @@ class _Side:
 def timeline(history: DataFrame, width: int = SLICE) -> DataFrame:
     """seq, symbol_idx, bid_price, bid_size, ask_price, ask_size: a row for each message that changes them.
 
-    ``history`` has a row for each change of a level, valid until next_seq. A slice begins with the levels that are
-    valid at its edge, so slices of one symbol need not wait for each other.
+    ``history`` has a row for each change of a level, valid until next_seq. Most symbols are one slice. One with more than
+    ``width`` changes is cut between buckets of ``width`` sequence numbers, where its changes before add up to ``width``
+    again. A slice begins with the levels that are valid at its edge, so slices need not wait for each other. A task
+    streams through its slices in order.
     """
-    part = F.floor(F.col("seq") / width)
-    last = F.floor((F.coalesce(F.col("next_seq"), F.lit(0)) - 1) / width)
-    ends = history.agg(F.floor(F.max("seq") / width).alias("end"))  # one row
-    changes = history.select("symbol_idx", part.alias("slice"), "seq", "side", "price", "agg_size", "num_orders")
-    held = history.where("num_orders > 0").join(F.broadcast(ends)).withColumn("to", F.when(F.col("next_seq").isNull(), F.col("end")).otherwise(last))
-    held = held.where(F.col("to") > part).select("symbol_idx", F.explode(F.sequence(part + 1, F.col("to"))).alias("slice"), "side", "price", "agg_size", "num_orders")
-    held = held.join(changes.select("symbol_idx", "slice").distinct(), ["symbol_idx", "slice"], "left_semi")
-    rows = changes.unionByName(held.withColumn("seq", F.lit(-1).cast("long")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides, out, symbol = {"B": _Side(-1), "S": _Side(1)}, [], pdf["symbol_idx"].iloc[0]
-        before = None
-        for seq, group in pdf.sort_values("seq", kind="stable").groupby("seq", sort=True):
-            if before is None and seq >= 0:
-                before = sides["B"].best() + sides["S"].best()
-            for side, price, size, orders in group[["side", "price", "agg_size", "num_orders"]].itertuples(index=False):
-                sides[side].set(price, size, orders)
+    history = cut(history.select("seq", "symbol_idx", "side", "price", "agg_size", "num_orders", "next_seq"))
+    bucket = F.floor(F.col("seq") / width)
+    counts = history.groupBy(F.col("symbol_idx").alias("_symbol"), bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("_symbol").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # a row for each bucket
+    cuts = counts.withColumn("_slice", F.floor(F.sum("n").over(before) / width)).where("_slice > 0").drop("n")
+    after = cuts.select(F.col("_symbol").alias("_symbol2"), F.col("_bucket").alias("_bucket2"), F.col("_slice").alias("_slice2"))
+    ends = cuts.groupBy(F.col("_symbol").alias("_symbol3")).agg(F.max("_slice").alias("_end"))
+    rows = history.withColumn("bucket", bucket).withColumn("next_bucket", F.floor(F.col("next_seq") / width))
+    rows = rows.join(cuts, (F.col("symbol_idx") == F.col("_symbol")) & (F.col("bucket") == F.col("_bucket")), "left")
+    changes = rows.select("symbol_idx", F.coalesce("_slice", F.lit(0)).alias("slice"), "seq", "side", "price", "agg_size", "num_orders", "next_bucket", "next_seq")
+    # levels of symbols with several slices that last into later ones
+    held = changes.where("num_orders > 0").join(ends, F.col("symbol_idx") == F.col("_symbol3"))
+    held = held.join(after, (F.col("symbol_idx") == F.col("_symbol2")) & (F.col("next_bucket") == F.col("_bucket2")), "left")
+    last = F.when(F.col("next_seq").isNull(), F.col("_end")).otherwise(F.coalesce("_slice2", F.lit(0)))
+    held = held.withColumn("to", last).where("to > slice")
+    held = held.select("symbol_idx", F.explode(F.sequence(F.col("slice") + 1, F.col("to"))).alias("slice"), F.lit(-1).cast("long").alias("seq"), "side", "price", "agg_size", "num_orders")
+    names = ["symbol_idx", "slice", "seq", "side", "price", "agg_size", "num_orders"]
+    ordered = changes.select(names).unionByName(held.select(names)).repartition("symbol_idx", "slice").sortWithinPartitions("symbol_idx", "slice", "seq")
+
+    def fold(batches):
+        where, at, sides, shown, out = None, None, {}, None, []
+
+        def close():
+            """The row of the message that is complete, if it changed anything; levels from before a slice tell nothing."""
+            nonlocal shown
             now = sides["B"].best() + sides["S"].best()
-            if seq >= 0 and now != before:
-                out.append((seq, symbol, *now))
-            before = now
-        return pd.DataFrame(out, columns=["seq", "symbol_idx", "bid_price", "bid_size", "ask_price", "ask_size"]).astype({c: "Int64" for c in ("bid_price", "bid_size", "ask_price", "ask_size")})
+            if at >= 0 and now != shown:
+                out.append((at, where[0], *now))
+            shown = now
+
+        for pdf in batches:
+            for symbol, part, seq, side, price, size, orders in zip(*(pdf[n].tolist() for n in names)):
+                if (symbol, part) != where or seq != at:
+                    if where is not None:
+                        close()
+                    if (symbol, part) != where:
+                        where, sides, shown = (symbol, part), {"B": _Side(-1), "S": _Side(1)}, (None,) * 4
+                    at = seq
+                sides[side].set(price, size, orders)
+            yield _frame(out)
+            out = []
+        if where is not None:
+            close()
+            yield _frame(out)
+
+    return ordered.mapInPandas(fold, "seq long, symbol_idx int, bid_price long, bid_size long, ask_price long, ask_size long")
+
 
-    return rows.groupBy("symbol_idx", "slice").applyInPandas(fold, "seq long, symbol_idx int, bid_price long, bid_size long, ask_price long, ask_size long")
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["seq", "symbol_idx", "bid_price", "bid_size", "ask_price", "ask_size"]).astype({c: "Int64" for c in ("bid_price", "bid_size", "ask_price", "ask_size")})
