@@ -65,3 +65,14 @@ def past_midnight(trade_date: Column, ns: Column) -> Column:
 def sign(side: Column) -> Column:
     """+1 for buys (B), -1 for sells (S)."""
     return F.when(side == "B", 1).when(side == "S", -1)
+
+
+def side_code(side: Column) -> Column:
+    """B or S from B, S, BUY, SELL, BID, ASK in any case, with spaces around or not; null for others."""
+    word = F.upper(F.trim(side))
+    return F.when(word.isin("B", "BUY", "BID"), "B").when(word.isin("S", "SELL", "ASK"), "S")
+
+
+def side_word(side: Column) -> Column:
+    """BUY or SELL from the same."""
+    return F.when(side_code(side) == "B", "BUY").when(side_code(side) == "S", "SELL")

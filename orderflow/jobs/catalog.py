@@ -55,6 +55,12 @@ def securities(spark: SparkSession, d: str) -> DataFrame:
     return testfeed.securities(testfeed.table(spark, d, "supplier"))
 
 
+def definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Securities as sent in-band: once as they are, and before that with another scale."""
+    now = securities(spark, d)
+    return now.unionByName(now.withColumns({"scale": F.lit(1), "symbol": F.lit("old"), "seq": -F.col("seq") - 1}))
+
+
 # packets
 
 
@@ -190,8 +196,15 @@ def replace_chain_root(spark, d):
 
 @query
 def security_enrich(spark, d):
-    m = msgs(spark, d).select("seq", "symbol_idx")
-    return m.join(F.broadcast(securities(spark, d).select("symbol_idx", "symbol", "scale")), "symbol_idx", "left")
+    return levels.enrich(msgs(spark, d).select("seq", "symbol_idx"), definitions(spark, d))
+
+
+@query
+def side_names(spark, d):
+    """Sides of events, and of line items by their flags, in one form."""
+    given = F.when(F.col("seq") % 3 == 0, F.col("side")).when(F.col("side") == "B", " buy").otherwise("Sell ")
+    m = msgs(spark, d).where("side is not null").select("seq", given.alias("given"))
+    return m.select("seq", scalars.side_code(F.col("given")).alias("code"), scalars.side_word(F.col("given")).alias("word"), scalars.sign(scalars.side_code(F.col("given"))).alias("sign"))
 
 
 # levels
@@ -214,7 +227,7 @@ def total_shares(spark, d):
 
 @query
 def level_count(spark, d):
-    return levels.level_count(built(spark, d).where("price < 10"), securities(spark, d))
+    return levels.level_count(built(spark, d).where("side = 'B'"), securities(spark, d).unionByName(securities(spark, d).withColumn("symbol_idx", -F.col("symbol_idx") - 1)))
 
 
 @query
@@ -283,8 +296,11 @@ def queue_position(spark, d):
 
 @query
 def insert_if_absent(spark, d):
+    """Items of even orders are there; all items are sent, some ids more than once."""
     rows = testfeed.line_orders(testfeed.table(spark, d, "lineitem"))
-    return rows.select("order_id", "symbol_idx", "side", "price", "size", (F.col("insert_no") == 1).alias("inserted"))
+    there = rows.where("insert_no = 1 and order_id % 2 = 0").drop("insert_no", "ticks").withColumn("inserted", F.lit(False))
+    sent = rows.drop("ticks").withColumns({"inserted": F.lit(True), "size": F.col("size") + F.col("insert_no")})
+    return levels.insert_absent(there, sent, "order_id", "insert_no")
 
 
 @query
@@ -303,7 +319,7 @@ def level_payload(spark, d):
 @query
 def price_scale(spark, d):
     m = msgs(spark, d).where("price is not null").select("seq", "symbol_idx", "price")
-    out = m.join(F.broadcast(securities(spark, d).select("symbol_idx", "scale")), "symbol_idx")
+    out = levels.enrich(m, definitions(spark, d)).where("scale is not null")
     return out.select("seq", scalars.display_price(F.col("price"), F.col("scale")).cast("double").alias("display"), scalars.wire_price(F.col("price")).cast("double").alias("wire"))
 
 
@@ -336,6 +352,8 @@ def bbo_timeline(spark, d):
 def sweep_interleaved(spark, d):
     m = msgs(spark, d)
     taker = F.col("msg_type") == "E"
+    # native feeds tell the symbol of an add only
+    m = m.withColumn("symbol_idx", F.when(F.col("msg_type").isin("A", "E"), F.col("symbol_idx")))
     flow = m.where("order_id is not null").withColumns({"side": F.when(taker, F.when(F.col("side") == "B", "S").otherwise("B")).otherwise(F.col("side")), "msg_type": F.when(taker, "X").otherwise(F.col("msg_type"))})
     return matching.sweep_interleaved(flow)
 
@@ -385,11 +403,20 @@ def line_arbitration(spark, d):
     return lines.arbitrate(both_lines(spark, d)).select("line_id", "first_seq", "phys_line", "arrival_ns")
 
 
+def timings(m: DataFrame) -> DataFrame:
+    kind = F.when(F.col("msg_type") == "A", "start").otherwise("stop")
+    return m.select(F.col("symbol_idx").alias("section"), kind.alias("event"), F.col("feed_time").alias("t_ns"), F.col("seq").alias("n"))
+
+
 @query
 def latency_summary(spark, d):
     m = msgs(spark, d)
-    kind = F.when(F.col("msg_type") == "A", "start").otherwise("stop")
-    return stats.latency(m.select(F.col("symbol_idx").alias("section"), kind.alias("event"), F.col("feed_time").alias("t_ns"), F.col("seq").alias("n")))
+    return stats.latency(timings(m))
+
+
+@query
+def latency_ticks(spark, d):
+    return stats.latency_ticks(timings(msgs(spark, d)))
 
 
 @query
@@ -421,10 +448,23 @@ def stream_decode(spark, d):
 def stream_book(spark, d):
     folder = shared_folder(spark, "book")
     streams.rocks(spark)
-    out = streams.run_once(streams.book(streams.as_stream(msgs(spark, d), folder)), folder)
+    out = streams.run_once(streams.book(streams.as_stream(msgs(spark, d), folder), "symbol_idx"), folder)
     return out.where("reason is null").select(*DELTAS)
 
 
+@query
+def stream_native_book(spark, d):
+    """A line as native feeds send it: definitions in-band, symbol and side in adds only; changes and rejects."""
+    folder = shared_folder(spark, "native")
+    streams.rocks(spark)
+    add = F.col("msg_type") == "A"
+    m = msgs(spark, d).withColumns({c: F.when(add, F.col(c)) for c in ("symbol_idx", "side")}).withColumns({"symbol": F.lit(None).cast("string"), "scale": F.lit(None).cast("int")})
+    defs = securities(spark, d).select("symbol_idx", "symbol", "scale", (-F.col("seq") - 1).alias("seq"), "feed_time", F.lit(0).alias("line_id"), F.lit("S").alias("msg_type"))
+    m = m.withColumn("seq", F.col("seq") + 1_000_000_000).unionByName(defs.withColumn("seq", F.col("seq") + 1_000_000_000), allowMissingColumns=True)
+    out = streams.run_once(streams.book(streams.as_stream(m, folder)), folder)
+    return out.select((F.col("seq") - 1_000_000_000).alias("seq"), F.when(F.col("reason").isNull(), F.col("symbol_idx")).alias("symbol_idx"), "side", "price", "d_size", "d_orders", "symbol", "scale", "reason")
+
+
 @query
 def stream_arbitration(spark, d):
     folder = shared_folder(spark, "arbitration")

@@ -41,6 +41,8 @@ _COPIES = """cp AS (SELECT CAST(user_id % 4 AS INT) AS line_id, 0 AS phys_line,
   UNION ALL SELECT CAST(user_id % 4 AS INT), 1, event_id, epoch_us(ts) * 1000 + (event_id % 7 - 2) * 1000 FROM events WHERE event_id % 89 <> 0)"""
 _QUEUE = f"""{_REST}, qu AS (SELECT *, CAST(sum(size) OVER (PARTITION BY symbol_idx, side ORDER BY CASE side WHEN 'B' THEN -price ELSE price END, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hi FROM rest),
 q AS (SELECT *, hi - size AS lo FROM qu)"""
+_LATENCY = f"""{_MSGS}, ev AS (SELECT symbol_idx AS section, msg_type = 'A' AS starts, feed_time AS t, lead(msg_type = 'A') OVER w AS next, lead(feed_time) OVER w AS t2 FROM msgs WINDOW w AS (PARTITION BY symbol_idx ORDER BY feed_time, seq)),
+su AS (SELECT section, CAST(coalesce(sum(t2 - t) FILTER (starts AND NOT next), 0) AS BIGINT) AS total_ns, count(*) FILTER (starts) AS calls FROM ev GROUP BY section)"""
 
 ORACLE_SQL = {
     "packet_source": f"WITH {_NATIVE} SELECT line_id, packet_no, min(seq) AS first_seq, CAST(sum(width) + 8 AS INT) AS len, 45 AS ver, CAST(count(*) AS INT) AS msg_cnt, CAST(sum(width) + 8 AS INT) AS bytes FROM wd GROUP BY line_id, packet_no",
@@ -65,10 +67,11 @@ ORACLE_SQL = {
     "order_lookup": f"WITH {_STATES} SELECT s.seq, s.msg_type, s.order_id, a.symbol_idx, a.side, s.was_price AS price FROM st s JOIN msgs a ON a.seq = s.order_id WHERE s.msg_type IN ('C', 'D', 'E')",
     "replace_chain_root": "SELECT o_orderkey AS id, root FROM (SELECT o_orderkey, first_value(o_orderkey) OVER w AS root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE o_orderkey <> root",
     "security_enrich": f"WITH {_MSGS}, {_SEC} SELECT symbol_idx, seq, symbol, scale FROM msgs LEFT JOIN sec USING (symbol_idx)",
+    "side_names": f"WITH {_MSGS} SELECT seq, side AS code, CASE side WHEN 'B' THEN 'BUY' ELSE 'SELL' END AS word, CASE side WHEN 'B' THEN 1 ELSE -1 END AS sign FROM msgs WHERE side IS NOT NULL",
     "level_build": f"WITH {_LEVELS} SELECT * FROM lv",
     "book_snapshot": f"WITH {_DELTAS} SELECT symbol_idx, side, price, CAST(sum(d_size) AS BIGINT) AS agg_size, CAST(sum(d_orders) AS BIGINT) AS num_orders, max(seq) AS last_seq FROM de WHERE seq <= 5000 GROUP BY ALL HAVING sum(d_orders) > 0",
     "total_shares": f"WITH {_REST} SELECT symbol_idx, side, CAST(sum(size) AS BIGINT) AS shares FROM rest GROUP BY ALL",
-    "level_count": f"WITH {_LEVELS}, {_SEC} SELECT symbol_idx, count(price) AS levels, count(price) = 0 AS empty FROM sec LEFT JOIN (SELECT * FROM lv WHERE price < 10) USING (symbol_idx) GROUP BY symbol_idx",
+    "level_count": f"WITH {_LEVELS}, {_SEC} SELECT symbol_idx, count(price) AS levels, count(price) = 0 AS empty FROM (SELECT symbol_idx FROM sec UNION ALL SELECT -symbol_idx - 1 FROM sec) LEFT JOIN (SELECT * FROM lv WHERE side = 'B') USING (symbol_idx) GROUP BY symbol_idx",
     "best_bid_offer": f"""WITH {_LEVELS} SELECT symbol_idx, max(price) FILTER (side = 'B') AS bid_price, max_by(agg_size, price) FILTER (side = 'B') AS bid_size,
       min(price) FILTER (side = 'S') AS ask_price, min_by(agg_size, price) FILTER (side = 'S') AS ask_size FROM lv GROUP BY symbol_idx""",
     "price_band_depth": f"WITH {_REST} SELECT symbol_idx, side, ticks // 1024 AS page, CAST(sum(size) AS BIGINT) AS agg_size, count(*) AS num_orders, count(DISTINCT ticks % 1024) AS slots FROM rest GROUP BY ALL",
@@ -86,7 +89,7 @@ ORACLE_SQL = {
       SELECT c.seq, c.symbol_idx, c.side, c.price, created_seq, m.feed_time AS created_feed_time, c.feed_time AS last_feed_time FROM cr c JOIN msgs m ON m.seq = created_seq""",
     "queue_position": f"""WITH {_REST} SELECT symbol_idx, side, price, order_id, size, CAST(row_number() OVER w AS INT) AS position, CAST(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS size_ahead
       FROM rest WINDOW w AS (PARTITION BY symbol_idx, side, price ORDER BY order_id)""",
-    "insert_if_absent": f"WITH {_ROWS} SELECT order_id, symbol_idx, side, price, size, insert_no = 1 AS inserted FROM r0",
+    "insert_if_absent": f"WITH {_ROWS} SELECT order_id, symbol_idx, side, price, size + CASE order_id % 2 WHEN 0 THEN 0 ELSE 1 END AS size, order_id % 2 <> 0 AS inserted FROM r0 WHERE insert_no = 1",
     "erase_keys": f"WITH {_REST} SELECT order_id, symbol_idx, side, price, size FROM rest WHERE order_id // 8 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "level_payload": f"WITH {_MSGS} SELECT seq, (((feed_time & 281474976710655)::HUGEINT * 65536 + (symbol_idx & 65535) + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS packed, CAST(symbol_idx & 65535 AS BIGINT) AS n, feed_time & 281474976710655 AS ft FROM msgs",
     "price_scale": f"WITH {_MSGS}, {_SEC} SELECT seq, CAST(CAST(CAST(price AS DECIMAL(18, 4)) / scale AS DECIMAL(18, 4)) AS DOUBLE) AS display, CAST(CAST(CAST(price AS DECIMAL(18, 4)) / 10000 AS DECIMAL(18, 4)) AS DOUBLE) AS wire FROM msgs JOIN sec USING (symbol_idx) WHERE price IS NOT NULL",
@@ -106,10 +109,12 @@ ORACLE_SQL = {
     "seq_gaps": """SELECT 0 AS line_id, event_id AS first_seq, expected, CASE WHEN event_id > expected THEN 'gap' ELSE 'overlap' END AS kind FROM (SELECT event_id, lag(event_id + 1) OVER (ORDER BY event_id) AS expected FROM events WHERE event_id % 97 <> 0) WHERE expected <> event_id""",
     "line_merge": f"WITH {_COPIES} SELECT line_id, phys_line, count(*) AS packets, CAST(sum(first_seq) AS BIGINT) AS seq_sum FROM cp GROUP BY ALL",
     "line_arbitration": f"WITH {_COPIES} SELECT line_id, first_seq, phys_line, arrival_ns FROM cp QUALIFY row_number() OVER (PARTITION BY line_id, first_seq ORDER BY arrival_ns, phys_line) = 1",
-    "latency_summary": f"""WITH {_MSGS}, ev AS (SELECT symbol_idx AS section, msg_type = 'A' AS starts, feed_time AS t, lead(msg_type = 'A') OVER w AS next, lead(feed_time) OVER w AS t2 FROM msgs WINDOW w AS (PARTITION BY symbol_idx ORDER BY feed_time, seq)),
-      su AS (SELECT section, CAST(coalesce(sum(t2 - t) FILTER (starts AND NOT next), 0) AS BIGINT) AS total_ns, count(*) FILTER (starts) AS calls FROM ev GROUP BY section) SELECT *, total_ns / calls AS mean_ns FROM su WHERE calls > 0""",
+    "latency_summary": f"WITH {_LATENCY} SELECT *, total_ns / calls AS mean_ns FROM su WHERE calls > 0",
+    "latency_ticks": f"WITH {_LATENCY} SELECT section, total_ns / 3.7e9::DOUBLE AS total_s, calls, total_ns / 3.7e9::DOUBLE / calls AS mean_s FROM su WHERE calls > 0",
     "executed_volume": f"WITH {_MSGS} SELECT symbol_idx, CAST(sum(size) AS BIGINT) AS shares, count(*) AS executions FROM msgs WHERE msg_type = 'E' GROUP BY symbol_idx",
     "stream_decode": f"WITH {_ITCH} SELECT type, seq, width AS bytes FROM iw WHERE type <> 'S'",
     "stream_book": f"WITH {_DELTAS} SELECT * FROM de",
+    "stream_native_book": f"""WITH {_DELTAS}, {_SEC} SELECT seq, symbol_idx, side, price, d_size, d_orders, symbol, scale, NULL::VARCHAR AS reason FROM de LEFT JOIN sec USING (symbol_idx)
+      UNION ALL SELECT seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN order_id IS NULL THEN 'unknown' ELSE 'dead' END FROM msgs WHERE seq NOT IN (SELECT seq FROM st)""",
     "stream_arbitration": f"WITH {_COPIES} SELECT DISTINCT line_id, first_seq FROM cp",
 }

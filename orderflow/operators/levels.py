@@ -116,6 +116,17 @@ def erase(orders: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return orders.join(keys, on, "left_anti")
 
 
-def insert_absent(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``table`` with the rows of ``new`` whose key it lacks."""
-    return table.unionByName(new.join(table, key, "left_anti"))
+def insert_absent(table: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """``table`` with the rows of ``new`` whose key it lacks; of several with one key the first by ``order`` (which it drops)."""
+    rest = [c for c in new.columns if c != key]
+    first = new.groupBy(key).agg(F.min(F.struct(order, *(c for c in rest if c != order))).alias("first")).select(key, "first.*")
+    return table.unionByName(first.select(table.columns).join(table, key, "left_anti"))
+
+
+def enrich(rows: DataFrame, securities: DataFrame) -> DataFrame:
+    """Adds symbol and scale by symbol_idx: those of the definition with the highest seq, null where there is none.
+
+    Definitions are sent again and again; one is left of each of at most 65,536 ids (16 bits), so they are broadcast.
+    """
+    latest = securities.groupBy("symbol_idx").agg(F.max_by(F.struct("symbol", "scale"), "seq").alias("s")).select("symbol_idx", "s.symbol", "s.scale")
+    return rows.join(F.broadcast(latest), "symbol_idx", "left")

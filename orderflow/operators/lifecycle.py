@@ -10,30 +10,32 @@ from ..functions.cut import cut
 
 
 def chain_roots(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id that replaced another, from (new_id, old_id): pointer jumping, log2(depth) rounds."""
+    """(id, root) for every id that replaced another, from (new_id, old_id): pointer jumping, log2(depth) rounds.
+
+    Each id replaces one other at most. Ids that replace each other in a circle have no root: that is an error.
+    """
     up = cut(edges.select(F.col("new_id").alias("id"), F.col("old_id").alias("root")))
-    while True:
+    for _ in range(up.count().bit_length() + 1):
         over = up.select(F.col("id").alias("root"), F.col("root").alias("next"))
         step = cut(up.join(over, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         up = step.select("id", "root")
         if step.where("moved").isEmpty():
             return up
+    raise ValueError("ids replace each other in a circle")
 
 
-def order_states(msgs: DataFrame) -> DataFrame:
-    """Every message with chain, reason (null, or why it is rejected), symbol_idx, side, price, rem and what was before.
-
-    Accepted messages have the order's state after the message (rem, price, priority_seq) and before it (was_rem,
-    was_price). Reasons: duplicate (an id that exists), unknown (no such order), stale (an id that has been replaced),
-    dead (the order has left). Identity needs the R rows only; all else is windows over one partitioning by chain.
+def identities(msgs: DataFrame) -> DataFrame:
+    """Every message that names an order, with chain (the id that its order was added with), chosen (an R that passes the
+    order on to a new id) and first_add (an A that brings its id up). Needs the A and R rows only, and joins on ids.
     """
     ids = W.partitionBy("line_id", "id").orderBy("seq")
-    uses = msgs.where("msg_type in ('A', 'R')").select("line_id", "seq", "msg_type", F.when(F.col("msg_type") == "A", F.col("order_id")).otherwise(F.col("new_order_id")).alias("id"))
+    uses = msgs.where("msg_type in ('A', 'R')").select("line_id", "seq", F.when(F.col("msg_type") == "A", F.col("order_id")).otherwise(F.col("new_order_id")).alias("id")).where("id is not null")
     born = uses.groupBy("line_id", "id").agg(F.min("seq").alias("birth"))
-    replaces = msgs.where("msg_type = 'R'").select("line_id", "seq", F.col("order_id").alias("id"), "new_order_id")
+    replaces = msgs.where("msg_type = 'R' and order_id is not null").select("line_id", "seq", F.col("order_id").alias("id"), "new_order_id")
     chosen = replaces.join(born, ["line_id", "id"]).where("seq > birth").withColumn("n", F.row_number().over(ids)).where("n = 1")
     fresh = born.select("line_id", F.col("id").alias("new_order_id"), F.col("birth").alias("new_birth"))
     chosen = cut(chosen.join(fresh, ["line_id", "new_order_id"]).where("seq = new_birth").select("line_id", "seq", "id", "new_order_id"))
+    msgs = msgs.where("order_id is not null")
     named = msgs.withColumn("chain", F.col("order_id"))
     if not chosen.isEmpty():
         key = lambda c: F.struct("line_id", c)
@@ -42,8 +44,18 @@ def order_states(msgs: DataFrame) -> DataFrame:
         named = msgs.join(roots, ["line_id", "order_id"], "left").withColumn("chain", F.coalesce("root", "order_id")).drop("root")
     named = named.join(chosen.select("line_id", "seq", F.lit(True).alias("chosen")), ["line_id", "seq"], "left")
     births = born.select("line_id", F.col("id").alias("order_id"), "birth")
-    named = named.join(births, ["line_id", "order_id"], "left").withColumn("first_add", (F.col("msg_type") == "A") & (F.col("seq") == F.col("birth"))).drop("birth")
+    return named.join(births, ["line_id", "order_id"], "left").withColumn("first_add", (F.col("msg_type") == "A") & (F.col("seq") == F.col("birth"))).drop("birth")
 
+
+def order_states(msgs: DataFrame) -> DataFrame:
+    """Every message with chain, reason (null, or why it is rejected), symbol_idx, side, price, rem and what was before.
+
+    Accepted messages have the order's state after the message (rem, price, priority_seq) and before it (was_rem,
+    was_price). Reasons: duplicate (an id that exists), unknown (no such order), stale (an id that has been replaced),
+    dead (the order has left). Once ids are resolved, all is windows over one partitioning by chain. Messages without an
+    order id are unknown, and never meet there.
+    """
+    named = identities(msgs)
     chain = W.partitionBy("line_id", "chain").orderBy("seq")
     earlier = chain.rowsBetween(W.unboundedPreceding, -1)
     upto = chain.rowsBetween(W.unboundedPreceding, 0)
@@ -68,7 +80,10 @@ def order_states(msgs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"was_rem": F.coalesce(F.lag("rem").over(chain), F.lit(0)), "was_price": F.lag("now_price").over(chain)})
     first_seen = F.col("msg_type").isin("A", "R") | F.coalesce("priority_reset", F.lit(False)) | (F.col("now_price") != F.col("was_price"))
     rows = rows.withColumn("priority_seq", F.last(F.when(sets & first_seen, F.col("seq")), ignorenulls=True).over(upto))
-    return rows.select("line_id", "seq", "feed_time", "msg_type", "order_id", "new_order_id", "chain", F.col("now_symbol").alias("symbol_idx"), F.col("now_side").alias("side"), F.col("now_price").alias("price"), "size", "rem", "was_rem", "was_price", "priority_seq", "reason")
+    rows = rows.select("line_id", "seq", "feed_time", "msg_type", "order_id", "new_order_id", "chain", F.col("now_symbol").alias("symbol_idx"), F.col("now_side").alias("side"), F.col("now_price").alias("price"), "size", "rem", "was_rem", "was_price", "priority_seq", "reason")
+    nobody = {"rem": F.lit(0), "was_rem": F.lit(0), "reason": F.lit("unknown"), "chain": F.lit(None), "symbol_idx": F.lit(None), "side": F.lit(None), "price": F.lit(None), "was_price": F.lit(None), "priority_seq": F.lit(None)}
+    lost = msgs.where("order_id is null").withColumns({c: v.cast(rows.schema[c].dataType) for c, v in nobody.items()})
+    return rows.unionByName(lost.select(rows.columns))
 
 
 def rejects(states: DataFrame) -> DataFrame:

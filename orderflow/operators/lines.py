@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 BUCKET = 100_000
 
 
-def number_packets(packets: DataFrame, start: int) -> DataFrame:
-    """Adds first_seq to (line_id, packet_no, msg_cnt): the start plus all messages of earlier packets of the line."""
-    before = W.partitionBy("line_id").orderBy("packet_no").rowsBetween(W.unboundedPreceding, -1)
-    return packets.withColumn("first_seq", F.lit(start) + F.coalesce(F.sum("msg_cnt").over(before), F.lit(0)))
+def number_packets(packets: DataFrame, start: int, bucket: int = BUCKET) -> DataFrame:
+    """Adds first_seq to (line_id, packet_no, msg_cnt): the start plus all messages of earlier packets of the line.
+
+    A line is cut into buckets of packet numbers: a packet counts within its bucket, and bucket totals add up in a window
+    with one row for each bucket.
+    """
+    rows = packets.withColumn("_bucket", F.floor(F.col("packet_no") / bucket))
+    totals = rows.groupBy(F.col("line_id").alias("_line"), F.col("_bucket").alias("_b")).agg(F.sum("msg_cnt").alias("_n"))
+    earlier = W.partitionBy("_line").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_line", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_upto"))
+    inside = W.partitionBy("line_id", "_bucket").orderBy("packet_no").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("msg_cnt").over(inside), F.lit(0)))
+    out = rows.join(totals, (F.col("line_id") == F.col("_line")) & (F.col("_bucket") == F.col("_b")))
+    return out.select(*packets.columns, (F.lit(start) + F.col("_upto") + F.col("_inside")).alias("first_seq"))
 
 
 def gaps(packets: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -71,8 +71,21 @@ def test_levels(spark):
     assert levels.volume_vector(built).where("side = 'B'").first().volumes == [1000, 500, 900]
     assert {(r.price, r.next_price) for r in levels.next_level(built).where("side = 'B'").collect()} == {(45000, 44980), (44980, 44950), (44950, None)}
     assert levels.best_bid_offer(built).first().asDict() == {"symbol_idx": 1, "bid_price": 45000, "bid_size": 1000, "ask_price": 45020, "ask_size": 400}
-    old, new = spark.createDataFrame([(1, 5)], "price long, v int"), spark.createDataFrame([(1, 9), (2, 7)], "price long, v int")
-    assert sorted(map(tuple, levels.insert_absent(old, new, "price").collect())) == [(1, 5), (2, 7)]
+    old, new = spark.createDataFrame([(1, 5)], "price long, v int"), spark.createDataFrame([(1, 9, 1), (2, 7, 3), (2, 8, 2), (2, 6, 4)], "price long, v int, n int")
+    assert sorted(map(tuple, levels.insert_absent(old, new, "price", "n").collect())) == [(1, 5), (2, 8)]
+
+
+def test_definitions_and_sides(spark):
+    defs = spark.createDataFrame([(1, "new", 10, 7, 0), (1, "old", 1, 3, 0), (2, "b", 5, 1, 0)], schemas.SECURITIES)
+    out = levels.enrich(spark.createDataFrame([(1,), (2,), (3,)], "symbol_idx int"), defs).collect()
+    assert sorted(map(tuple, out)) == [(1, "new", 10), (2, "b", 5), (3, None, None)]
+    sides = spark.createDataFrame([(x,) for x in ("B", "buy ", "SELL", "s", "x", None)], "s string")
+    assert [tuple(r) for r in sides.select(scalars.side_code(F.col("s")), scalars.side_word(F.col("s"))).collect()] == [("B", "BUY")] * 2 + [("S", "SELL")] * 2 + [(None, None)] * 2
+
+
+def test_ids_in_a_circle(spark):
+    with pytest.raises(ValueError):
+        lifecycle.chain_roots(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "new_id long, old_id long"))
 
 
 def test_scalars(spark):
@@ -184,47 +197,105 @@ def test_random_flow(spark, seed):
     assert sorted(map(tuple, bbo.timeline(history, 37).collect())) == whole
 
 
-def test_interleaved_sweep(spark):
-    rnd, flow, book, want = random.Random(5), [], matching.Book(), []
-    for seq in range(300):
-        kind, side, price, size = rnd.choice("AAAXCD"), rnd.choice("BS"), rnd.randrange(10), rnd.randrange(1, 50)
-        oid = seq if kind == "A" else rnd.randrange(max(1, seq))
-        flow.append((1 + seq % 2, seq, kind, oid, None, side, price, size, False))
-    frame = spark.createDataFrame(flow, "symbol_idx int, seq long, msg_type string, order_id long, new_order_id long, side string, price long, size long, priority_reset boolean")
-    for symbol in (1, 2):
-        book = matching.Book()
-        for idx, seq, kind, oid, new, side, price, size, reset in flow:
-            if idx == symbol and kind == "X":
-                before = sum(o[2] for o in book.orders.values() if o[0] == side)
-                fills = list(book.sweep(side, size))
-                assert sum(f for _, _, f, _ in fills) == min(size, before)
-                want += [(seq, symbol, side, p, o, f, r) for o, p, f, r in fills]
-            elif idx == symbol:
-                book.apply(seq, kind, oid, new, side, price, size, reset)
-    assert sorted(map(tuple, matching.sweep_interleaved(frame).collect())) == sorted(want)
+def naive_sweeps(rows):
+    """Fills by plain lists, one message after the other, with the rules of a feed: ids are used once."""
+    resting, seen, fills = [], set(), []  # resting: [id, symbol, side, price, size, priority]
+    for _, seq, _, kind, symbol, oid, new, side, price, size, reset, _ in rows:
+        if kind == "X":
+            mine = [o for o in resting if o[1] == symbol and o[2] == side]
+            for o in sorted(mine, key=lambda o: (-o[3] if side == "B" else o[3], o[5])):
+                fill = min(size, o[4])
+                if fill:
+                    size -= fill
+                    o[4] -= fill
+                    fills.append((seq, symbol, side, o[3], o[0], fill, o[4]))
+            resting = [o for o in resting if o[4] > 0]
+            continue
+        if kind == "A":
+            if oid not in seen:
+                resting.append([oid, symbol, side, price, size, seq])
+            seen.add(oid)
+            continue
+        taken = new in seen
+        if kind == "R":
+            seen.add(new)
+        for o in [o for o in resting if o[0] == oid and not taken]:
+            if kind in "CE":
+                o[4] -= size
+            elif kind == "D":
+                o[4] = 0
+            else:
+                o[5] = seq if kind == "R" or reset or price != o[3] else o[5]
+                o[3:5] = price, size
+                o[0] = new if kind == "R" else oid
+        resting = [o for o in resting if o[4] > 0]
+    return fills
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_interleaved_sweep(spark, seed):
+    """Native messages: only adds and aggressors tell a symbol; ids repeat, die, are replaced and are taken."""
+    rnd, rows = random.Random(seed), []
+    for r in random_flow(seed, 500):
+        r = list(r)
+        if r[3] == "A":
+            r[4] = rnd.randrange(1, 3)
+        if r[3] == "R" and rnd.random() < 0.1:
+            r[6] = rnd.randrange(1, 30)  # an id that is there
+        if rnd.random() < 0.15:
+            r[3:10] = ["X", rnd.randrange(1, 3), None, None, rnd.choice("BS"), None, rnd.randrange(1, 60)]
+        rows.append(tuple(r))
+    got = matching.sweep_interleaved(spark.createDataFrame(rows, schemas.ORDER_MSGS)).collect()
+    assert len(got) > 50 and sorted(map(tuple, got)) == sorted(naive_sweeps(rows))
+
+
+def test_sweep_of_golden_feed(spark):
+    """An order that was cut and deleted fills nobody."""
+    msgs, _ = testfeed.golden_feed(spark)
+    takers = spark.createDataFrame([(0, 100, 0, "X", 1968, None, None, "S", None, 500, None, None), (0, 101, 0, "X", 1969, None, None, "S", None, 120, None, None)], schemas.ORDER_MSGS)
+    got = matching.sweep_interleaved(msgs.unionByName(takers)).collect()
+    assert sorted((r.aggressor_seq, r.price, r.order_id, r.fill_size) for r in got) == [(100, 69, 1720, 100), (100, 69, 1721, 100), (101, 56, 1722, 100)]
 
 
 def test_latency_and_gaps(spark):
     t = spark.createDataFrame([("x", "start", 0, 0), ("x", "stop", 100, 1), ("x", "start", 200, 2), ("x", "stop", 400, 3), ("x", "start", 500, 4)], "section string, event string, t_ns long, n long")
-    assert tuple(stats.latency(t).first()) == ("x", 300, 3, 100.0)
+    assert tuple(stats.latency(t).first()) == ("x", 300, 3, 100.0) and tuple(stats.latency(t, 150).first()) == ("x", 300, 3, 100.0)
+    assert tuple(stats.latency_ticks(t, 100.0).first()) == ("x", 3.0, 3, 1.0)
+    packets = spark.createDataFrame([(i % 2, i, i % 5 + 1) for i in range(100)], "line_id int, packet_no long, msg_cnt long")
+    firsts = {(r.line_id, r.packet_no): r.first_seq for r in lines.number_packets(packets, 10, 7).collect()}
+    assert all(firsts[i % 2, i] == 10 + sum(j % 5 + 1 for j in range(i % 2, i, 2)) for i in range(100))
     p = spark.createDataFrame([(1, 1, 5), (1, 6, 5), (1, 12, 3), (1, 14, 1), (1, 2001, 1)], "line_id int, first_seq long, msg_cnt long")
     assert sorted((r.first_seq, r.expected, r.kind) for r in lines.gaps(p, 1000).collect()) == [(12, 11, "gap"), (14, 15, "overlap"), (2001, 15, "gap")]
 
 
-def test_stream_book_splits(spark):
-    """Any split into micro-batches gives the batch result; late messages are told."""
-    rows = [r for r in random_flow(9, 120) if r[3] != "R"]
-    rows = [(*r[:4], 3, *r[5:]) for r in rows]
-    _, rejects = fold(rows)
-    rows = [r for r in rows if r[1] not in rejects]
-    want = {tuple(r) for r in lifecycle.deltas(lifecycle.order_states(spark.createDataFrame(rows, schemas.ORDER_MSGS))).select("seq", "side", "price", "d_size", "d_orders").collect()}
-    folder = shared_folder(spark, "split")
+def streamed(spark, parts, extra=""):
+    folder, out = shared_folder(spark, "split"), None
     streams.rocks(spark)
-    got = set()
-    for part in (rows[:50], rows[50:], rows[:1]):
-        spark.createDataFrame(part, schemas.ORDER_MSGS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(spark.createDataFrame([], schemas.ORDER_MSGS).schema).parquet(f"{folder}/in")
-        out = streams.run_once(streams.book(stream), folder)
-        got = {tuple(r) for r in out.where("reason is null").select("seq", "side", "price", "d_size", "d_orders").collect()}
-    assert got == want
-    assert [r.seq for r in out.where("reason = 'late'").collect()] == [rows[0][1]]
+    for part in parts:
+        frame = spark.createDataFrame(part, schemas.ORDER_MSGS + extra)
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = streams.run_once(streams.book(spark.readStream.schema(frame.schema).parquet(f"{folder}/in")), folder)
+    return out
+
+
+def test_stream_book_splits(spark):
+    """Any split of a flow with all kinds of messages and rejects into micro-batches gives the batch result."""
+    rows = random_flow(9, 150)
+    assert {r[3] for r in rows} == set("ACDMRE")
+    states = lifecycle.order_states(spark.createDataFrame(rows, schemas.ORDER_MSGS)).cache()
+    want = {tuple(r) for r in lifecycle.deltas(states).select("seq", "symbol_idx", "side", "price", "d_size", "d_orders").collect()}
+    out = streamed(spark, (rows[:50], rows[50:60], rows[60:], rows[:1]))
+    assert {tuple(r) for r in out.where("reason is null").select("seq", "symbol_idx", "side", "price", "d_size", "d_orders").collect()} == want
+    rejects = {r.seq for r in lifecycle.rejects(states).collect()}
+    told = out.where("reason is not null").collect()
+    assert len(rejects) > 10 and {r.seq for r in told if r.reason != "late"} == rejects and [r.seq for r in told if r.reason == "late"] == [rows[0][1]]
+
+
+def test_stream_of_golden_feed(spark):
+    """Definitions come in-band, and no message but an add names its symbol."""
+    msgs, defs = testfeed.golden_feed(spark)
+    want = sorted(map(tuple, lifecycle.deltas(lifecycle.order_states(msgs)).select("seq", "symbol_idx", "side", "price", "d_size", "d_orders").collect()))
+    rows = [(0, r.seq, r.feed_time, "S", r.symbol_idx, *[None] * 7, r.symbol, r.scale) for r in defs.collect()] + [(*r, None, None) for r in map(tuple, msgs.orderBy("seq").collect())]
+    out = streamed(spark, (rows[:7], rows[7:]), ", symbol string, scale int")
+    assert sorted(map(tuple, out.select("seq", "symbol_idx", "side", "price", "d_size", "d_orders").collect())) == want and len(want) == 19
+    assert {(r.symbol_idx, r.symbol, r.scale) for r in out.collect()} == {(1968, "ken", 10), (1969, "wall", 100)}
