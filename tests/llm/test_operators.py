@@ -469,8 +469,12 @@ def test_similarity_is_that_of_edits(spark):
         a = "".join("abcd "[i] for i in rnd.integers(0, 5, int(rnd.integers(1, 90))))
         b = "".join(c for c in a if rnd.random() > 0.1) + "xyz"[: int(rnd.integers(0, 4))]
         rows.append((a, b))
+    for i in range(30):  # words put in, left out and written otherwise, in lines of several pieces
+        a = ["abcdefgh"[n : n + 3] * int(rnd.integers(1, 3)) for n in rnd.integers(0, 6, int(rnd.integers(36, 80)))]
+        turned = [(w, w[:2] + "z", w + " new", "")[min(3, int(rnd.integers(0, 2 + 200 // (i + 1))))] if rnd.random() < i / 40 else w for w in a]
+        rows.append((" ".join(a), " ".join(w for w in turned if w)))
     got = [r.s for r in spark.createDataFrame(rows, "a string, b string").select(linededup.similar(F.col("a"), F.col("b")).alias("s")).collect()]
-    assert got == [edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in rows] and 20 < sum(got) < 190
+    assert got == [edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in rows] and 20 < sum(got[:200]) < 190 and 5 < sum(got[200:]) < 28
 
 
 def test_first_lines_stay(spark):
