@@ -21,7 +21,7 @@ from . import tokens
 from .common import Scratch
 
 #: Documents in a block.
-BLOCK = 8_192
+BLOCK = 2_048
 #: Items whose terms are indexed and asked together, by number and by characters; more items make more passes.
 ITEMS, CHARS = 10_000, 64_000_000
 #: A block answers so many items at a time that their sums fit in about this many bytes.
