@@ -22,6 +22,8 @@ from .common import Scratch
 
 #: Documents in a block.
 BLOCK = 2_048
+#: Most slices of a rare term are empty; packed, a block is small wherever Spark holds many rows.
+CODEC = "zstd"
 #: Items whose terms are indexed and asked together, by number and by characters; more items make more passes.
 ITEMS, CHARS = 10_000, 64_000_000
 #: A block answers so many items at a time that their sums fit in about this many bytes.
@@ -87,12 +89,12 @@ def _flush(held: list[tuple]) -> pa.RecordBatch:
     by = np.lexsort((row, term))
     row, term, tf = row[by], term[by], tf[by]
     first = np.flatnonzero(np.diff(term, prepend=-1))
-    lists = (ids.take(pa.array(order)), pa.array(n[order]), pa.array(term[first], pa.int32()), pa.array(np.diff(first, append=len(term)), pa.int64()), pa.array(row, pa.int32()), pa.array(tf, pa.int64()))
+    lists = (ids.take(pa.array(order)), pa.array(n[order]), pa.array(term[first], pa.int32()), pa.array(np.diff(first, append=len(term)), pa.int64()), pa.array(row, pa.int32()), pa.array(tf, pa.int32()))
     columns = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x).cast(pa.list_(x.type)) for x in lists]
     return pa.RecordBatch.from_arrays([*columns, pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["doc_id", "n", "term", "df", "row", "tf", "texts", "words"])
 
 
-_POSTINGS = "doc_id array<long>, n array<long>, term array<int>, df array<long>, row array<int>, tf array<long>, texts long, words long"
+_POSTINGS = "doc_id array<long>, n array<long>, term array<int>, df array<long>, row array<int>, tf array<int>, texts long, words long"
 _INDEX = "doc_id array<long>, term array<int>, cells array<long>, word array<int>, slices int, bits binary"
 
 
@@ -136,6 +138,7 @@ def sliced(blocks: DataFrame, weights, texts: int, words: int) -> DataFrame:
             for i in range(batch.num_rows):
                 n, term, df, row, tf = _lists(batch, i, "n", "term", "df", "row", "tf")
                 m = LEAST - SHARE + SHARE * n * texts // max(1, words)
+                tf = tf.astype(np.int64)
                 impact = np.repeat(weights.value[term], df) * (1_000_000_000 * tf // (1_000 * tf + 8 * m[row]))
                 owner = np.repeat(np.arange(len(term)), df)
                 cell = owner * (len(n) // 64 + 1) + row // 64
@@ -148,7 +151,7 @@ def sliced(blocks: DataFrame, weights, texts: int, words: int) -> DataFrame:
                 cells = np.bincount(owner[first], minlength=len(term)) if len(term) else np.zeros(0, np.int64)
                 lists = (batch.column("doc_id")[i].values, pa.array(term, pa.int32()), pa.array(cells, pa.int64()), pa.array(row[first] // 64, pa.int32()))
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([slices], pa.int32()), pa.array([bits.tobytes()], pa.binary())], [x.split()[0] for x in _INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([slices], pa.int32()), pa.array([pa.compress(bits.tobytes(), CODEC, asbytes=True)], pa.binary())], [x.split()[0] for x in _INDEX.split(", ")])
 
     return blocks.mapInArrow(run, _INDEX)
 
@@ -229,7 +232,8 @@ def search(index: DataFrame, asked, k: int) -> DataFrame:
                 null, key = pc.is_null(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
                 term, cells, word = _lists(batch, i, "term", "cells", "word")
                 slices = batch.column("slices")[i].as_py()
-                bits = np.frombuffer(batch.column("bits")[i].as_buffer(), np.uint64).reshape(slices, len(word))
+                bits = pa.decompress(batch.column("bits")[i].as_buffer(), 8 * slices * len(word), CODEC)
+                bits = np.frombuffer(bits, np.uint64).reshape(slices, len(word))
                 new = [(np.full(len(rows), item), score, null[rows], key[rows]) for item, rows, score in answers((len(ids), term, cells, word, bits), asked.value, k)]
                 held = [np.concatenate([h, *x]) for h, x in zip(held, zip(*new))] if new else held
                 order = np.lexsort((held[3], held[2], -held[1], held[0]))
