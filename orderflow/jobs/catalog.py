@@ -12,7 +12,7 @@ from ..functions import scalars
 from ..functions.cut import shared_folder
 from ..operators import bbo, levels, lifecycle, lines, matching, stats
 from ..schemas import DELTAS
-from ..sources import testfeed, wire
+from ..sources import testfeed, udtf, wire
 from ..streaming import book as streams
 
 #: Messages in a packet, the first number of a line, the ladder's bounds, and the feed that is selected.
@@ -113,6 +113,26 @@ def itch_messages(spark, d):
     return wire.long_enough(itch_msgs(spark, d)).select("seqno", "idx", "type", F.length("body").alias("bytes"))
 
 
+@query
+def sql_block_walk(spark, d):
+    """Datagrams walked in SQL: all at once by a table function, and one at a time with LATERAL; both must agree."""
+    udtf.register(spark)
+    grams = wire.datagrams(itch_source(spark, d)).select("session", "seqno", "msg_count", "blocks")
+    every = "SELECT seqno, idx, type, length(body) AS bytes FROM itch_messages(TABLE(SELECT * FROM {grams}))"
+    lateral = "SELECT seqno, m.idx, m.type, length(m.body) AS bytes FROM {grams}, LATERAL block_walk(msg_count, blocks) m"
+    return spark.sql(f"SELECT seqno, idx, type, bytes, count(*) AS ways FROM ({every} UNION ALL {lateral}) GROUP BY ALL", grams=grams)
+
+
+@query
+def sql_native_walk(spark, d):
+    """Native packets in SQL, both ways."""
+    udtf.register(spark)
+    packets = wire.pack_native(native_msgs(spark, d)).select("line_id", "packet_no", "payload")
+    every = "SELECT packet_no, seq, msg_type, order_id, price, size FROM native_messages(TABLE(SELECT * FROM {packets}))"
+    lateral = "SELECT packet_no, m.seq, m.msg_type, m.order_id, m.price, m.size FROM {packets}, LATERAL native_walk(payload) m"
+    return spark.sql(f"SELECT packet_no, seq, msg_type, order_id, price, size, count(*) AS ways FROM ({every} UNION ALL {lateral}) GROUP BY ALL", packets=packets)
+
+
 @query
 def itch_type_filter(spark, d):
     return wire.passed(itch_msgs(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("msgs"))

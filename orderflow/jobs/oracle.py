@@ -51,6 +51,8 @@ ORACLE_SQL = {
     "feed_filter": f"WITH {_ITCH} SELECT packet_no, 26401 AS dst_port, CAST(64 + sum(width + 2) AS INT) AS bytes FROM iw WHERE packet_no % 3 = 1 GROUP BY packet_no",
     "itch_frames": f"WITH {_ITCH} SELECT packet_no, 'SESSION001' AS session, min(seq) AS seqno, CAST(count(*) AS INT) AS msg_count, CAST(sum(width + 2) AS INT) AS bytes FROM iw GROUP BY packet_no",
     "itch_messages": f"WITH {_ITCH} SELECT min(seq) OVER (PARTITION BY packet_no) AS seqno, CAST(seq - min(seq) OVER (PARTITION BY packet_no) AS INT) AS idx, type, width AS bytes FROM iw QUALIFY type IN ('A', 'F', 'E', 'D')",
+    "sql_block_walk": f"WITH {_ITCH} SELECT min(seq) OVER (PARTITION BY packet_no) AS seqno, CAST(seq - min(seq) OVER (PARTITION BY packet_no) AS INT) AS idx, type, CAST(width AS INT) AS bytes, 2 AS ways FROM iw",
+    "sql_native_walk": f"WITH {_NATIVE} SELECT packet_no, seq, msg_type, order_id, CASE WHEN msg_type IN ('A', 'M') THEN price END AS price, CASE WHEN msg_type <> 'D' THEN size END AS size, 2 AS ways FROM nat",
     "itch_type_filter": f"WITH {_ITCH} SELECT type, count(*) AS msgs FROM it WHERE type <> 'S' GROUP BY type",
     "itch_add": f"WITH {_ITCH} SELECT seq, symbol_idx AS locate, ns AS ts_ns, order_id AS ref, side, size AS shares, 'S' || symbol_idx AS stock, CAST(CAST(CAST(price AS DECIMAL(18, 4)) / 100 AS DECIMAL(18, 4)) AS DOUBLE) AS price FROM it WHERE type IN ('A', 'F')",
     "itch_execute": f"WITH {_ITCH} SELECT seq, symbol_idx AS locate, ns AS ts_ns, coalesce(order_id, 0) AS ref, size AS executed_shares, seq AS match_num FROM it WHERE type = 'E'",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,73 +12,165 @@ from ..functions.scalars import big_endian, big_endian_hex, fixed_text, wire_pri
 
 #: Bytes before a datagram, and of its header: session 10, seqno 8, msg_count 2, two that are not used.
 PREFIX, DATAGRAM = 42, 22
-#: Layouts of the native messages after their header of time and type.
-NATIVE = {"S": "<Qc8sHH", "A": "<QcQqIHc", "D": "<QcQ", "C": "<QcQI", "M": "<QcQIq?", "R": "<QcQQIq"}
-WIDTHS = {t: struct.calcsize(f) for t, f in NATIVE.items()}
-NATIVE_FIELDS = {"S": ("symbol", "symbol_idx", "scale"), "A": ("order_id", "price", "size", "symbol_idx", "side"), "D": ("order_id",), "C": ("order_id", "size"), "M": ("order_id", "size", "price", "priority_reset"), "R": ("order_id", "new_order_id", "size", "price")}
+#: Layouts of the native messages, little-endian and packed; a header of time and type comes first.
+NATIVE_FIELDS = {
+    "S": {"symbol": "S8", "symbol_idx": "<u2", "scale": "<u2"},
+    "A": {"order_id": "<u8", "price": "<i8", "size": "<u4", "symbol_idx": "<u2", "side": "S1"},
+    "D": {"order_id": "<u8"},
+    "C": {"order_id": "<u8", "size": "<u4"},
+    "M": {"order_id": "<u8", "size": "<u4", "price": "<i8", "priority_reset": "u1"},
+    "R": {"order_id": "<u8", "new_order_id": "<u8", "size": "<u4", "price": "<i8"},
+}
+NATIVE = {kind: np.dtype([("time", "<u8"), ("type", "S1"), *fields.items()]) for kind, fields in NATIVE_FIELDS.items()}
+HEADER = np.dtype([("first", "<u4"), ("len", "<u2"), ("ver", "u1"), ("cnt", "u1")])
+WIDTHS = {kind: layout.itemsize for kind, layout in NATIVE.items()}
+_WIDTH = np.zeros(256, np.int64)
+_WIDTH[[ord(k) for k in WIDTHS]] = list(WIDTHS.values())
+#: Text of each byte; space and NUL pad.
+_CHARS = pa.array([chr(i).rstrip(" \0") for i in range(256)])
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 #: Least body lengths of the decoded types, and the types that are passed on.
 LEAST = {"A": 36, "F": 36, "E": 31, "D": 19}
 PASSED = ("A", "F", "E", "D", "U")
-DECODED = "line_id int, packet_no long, seq long, feed_time long, msg_type string, symbol_idx int, order_id long, new_order_id long, side string, price long, size long, priority_reset boolean, symbol string, scale int"
+MESSAGE = "seq long, feed_time long, msg_type string, symbol_idx int, order_id long, new_order_id long, side string, price long, size long, priority_reset boolean, symbol string, scale int"
+DECODED = f"line_id int, packet_no long, {MESSAGE}"
 
 
 # native packets
 
 
+def _columns(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins and the last one ends; null is empty."""
+    values = pc.fill_null(batch.column(column), b"").cast(pa.large_binary())
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), at
+
+
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The runs of ``data`` between the places ``at``, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), max(0, len(at) - 1), [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data)])
+
+
 def pack_native(msgs: DataFrame, version: int = 45) -> DataFrame:
     """(line_id, packet_no, payload) of messages with line_id, packet_no, seq and the fields of their types.
 
-    A packet holds what its sender put into it, so collecting its messages is bounded by the format (255 of them).
+    A packet holds what its sender put into it, so collecting its messages is bounded by the format (255 of them, 65,535 bytes).
+    Fields that a type has and a message lacks are sent as 0. A batch is packed as a whole, type by type.
     """
-    names = ["seq", "feed_time", "msg_type", "symbol_idx", "order_id", "new_order_id", "side", "price", "size", "priority_reset"]
+    names = ["seq", "feed_time", "msg_type", "symbol_idx", "order_id", "new_order_id", "side", "price", "size", "priority_reset", "symbol", "scale"]
+    names = [n for n in names if n in msgs.columns]
     packets = msgs.groupBy("line_id", "packet_no").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("msgs"))
 
     def pack(batches):
         for batch in batches:
-            out = []
-            for rows in batch.column("msgs").to_pylist():
-                body = b""
-                for r in rows:
-                    values = [v.encode() if isinstance(v, str) else v for v in (r.get(f) for f in NATIVE_FIELDS[r["msg_type"]])]
-                    body += struct.pack(NATIVE[r["msg_type"]], r["feed_time"], r["msg_type"].encode(), *values)
-                out.append(struct.pack("<IHBB", rows[0]["seq"], 8 + len(body), version, len(rows)) + body)
-            yield pa.RecordBatch.from_arrays([batch.column("line_id"), batch.column("packet_no"), pa.array(out, pa.binary())], ["line_id", "packet_no", "payload"])
+            lists = batch.column("msgs")
+            first = lists.offsets.to_numpy().astype(np.int64)
+            rows, first = lists.values.slice(first[0], first[-1] - first[0]), first - first[0]
+            kinds, counts = rows.field("msg_type").to_numpy(zero_copy_only=False), np.diff(first)
+            width = np.array([WIDTHS.get(k, 0) for k in kinds], np.int64)
+            if (width == 0).any():
+                raise ValueError("a message type that native packets do not have")
+            ends = np.concatenate([[0], np.cumsum(width)])
+            lengths = 8 + ends[first[1:]] - ends[first[:-1]]
+            if len(counts) and (counts.max() > 255 or lengths.max() > 65_535):
+                raise ValueError("a packet holds at most 255 messages and 65,535 bytes")
+            at = np.concatenate([[0], np.cumsum(lengths)])
+            data = np.zeros(at[-1], np.uint8)
+            heads = np.zeros(len(counts), HEADER)
+            heads["first"], heads["len"], heads["ver"], heads["cnt"] = rows.field("seq").to_numpy(zero_copy_only=False)[first[:-1]] if len(counts) else 0, lengths, version, counts
+            data[at[:-1, None] + np.arange(8)] = heads.view(np.uint8).reshape(-1, 8)
+            start = ends[:-1] + 8 * (np.repeat(np.arange(len(counts)), counts) + 1)
+            for kind in set(kinds.tolist()):
+                mine = np.flatnonzero(kinds == kind)
+                out = np.zeros(len(mine), NATIVE[kind])
+                out["type"] = kind.encode()
+                for name, given in ((n, "feed_time" if n == "time" else n) for n in NATIVE[kind].names if n != "type"):
+                    if given in names:
+                        value = rows.field(given).take(pa.array(mine))
+                        text = pa.types.is_string(value.type)
+                        out[name] = [v.encode("latin1") for v in pc.fill_null(value, "").to_pylist()] if text else pc.fill_null(value, False if pa.types.is_boolean(value.type) else 0).to_numpy(zero_copy_only=False)
+                data[start[mine, None] + np.arange(WIDTHS[kind])] = out.view(np.uint8).reshape(-1, WIDTHS[kind])
+            yield pa.RecordBatch.from_arrays([batch.column("line_id"), batch.column("packet_no"), _binary(data, at).cast(pa.binary())], ["line_id", "packet_no", "payload"])
 
     return packets.mapInArrow(pack, "line_id int, packet_no long, payload binary")
 
 
-def packet_headers(packets: DataFrame) -> DataFrame:
-    """first_seq, length, version and message count of native packets; the payload stays in the JVM."""
-    byte = lambda i: F.conv(F.hex(F.substring("payload", i + 1, 1)), 16, 10).cast("long")
-    little = lambda i, n: sum((byte(i + j) * (1 << (8 * j)) for j in range(1, n)), byte(i))
-    return packets.select("line_id", "packet_no", little(0, 4).alias("first_seq"), little(4, 2).cast("int").alias("len"), byte(6).cast("int").alias("ver"), byte(7).cast("int").alias("msg_cnt"), F.length("payload").alias("bytes"))
+def little_endian(b: Column, at: int, n: int) -> Column:
+    """Unsigned integer of ``n`` bytes (at most 7) from byte ``at`` on."""
+    byte = lambda i: F.conv(F.hex(F.substring(b, i + 1, 1)), 16, 10).cast("long")
+    return sum((byte(at + j) * (1 << (8 * j)) for j in range(1, n)), byte(at))
 
 
-def unpack_native(packets: DataFrame) -> DataFrame:
-    """One row for each message; seq is the packet's first plus the place in it. A cut-off or unknown message ends a packet."""
-    names = [x.split()[0] for x in DECODED.split(", ")]
+def packet_headers(packets: DataFrame) -> DataFrame:
+    """first_seq, length, version and message count of native packets; the payload stays in the JVM."""
+    little = lambda at, n: little_endian(F.col("payload"), at, n)
+    return packets.select("line_id", "packet_no", little(0, 4).alias("first_seq"), little(4, 2).cast("int").alias("len"), little(6, 1).cast("int").alias("ver"), little(7, 1).cast("int").alias("msg_cnt"), F.length("payload").alias("bytes"))
+
+
+def walk_native(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packet, place in it and first byte of every message; all packets walk together, step k takes the k-th message of each."""
+    begin, end = at[:-1], at[1:]
+    live = np.flatnonzero(end - begin >= 8)
+    count, place, found, k = data[begin[live] + 7], begin[live] + 8, [], 0
+    while len(live := live[keep := (count > k) & (place + 8 < end[live])]):
+        place, count = place[keep], count[keep]
+        width = _WIDTH[data[place + 8]]
+        whole = (width > 0) & (place + width <= end[live])
+        live, place, count, width = live[whole], place[whole], count[whole], width[whole]
+        found.append((live, np.full(len(live), k), place))
+        place, k = place + width, k + 1
+    packet, step, first = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(first, kind="stable")
+    return packet[order], step[order], first[order]
+
+
+def native_messages(payload: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """For a whole column of packets: which one each message comes from, and the columns of MESSAGE."""
+    data, at = _columns(pa.RecordBatch.from_arrays([payload], ["p"]), "p")
+    packet, step, first = walk_native(data, at)
+    names, n = [x.split()[0] for x in MESSAGE.split(", ")], len(packet)
+    seq = step.astype(np.int64)
+    for j in range(4):
+        seq = seq + (data[at[packet] + j].astype(np.int64) << (8 * j))
+    kinds = data[first + 8] if n else np.zeros(0, np.uint8)
+    values, held = {x: np.zeros(n, np.int64) for x in names}, {x: np.zeros(n, bool) for x in names}
+    symbol = np.full(n, None, object)
+    for kind, layout in NATIVE.items():
+        mine = np.flatnonzero(kinds == ord(kind))
+        rows = np.ascontiguousarray(data[first[mine, None] + np.arange(WIDTHS[kind])]).view(layout).ravel()
+        for field in layout.names:
+            name = "feed_time" if field == "time" else field
+            if field == "symbol":
+                symbol[mine] = [x.rstrip(b" \0").decode("latin1") for x in rows[field].tolist()]  # definitions are few
+            elif field != "type":
+                values[name][mine] = (rows[field].view(np.uint8) if field == "side" else rows[field]).astype(np.int64)
+            if field != "type":
+                held[name][mine] = rows[field] < 2**63 if layout[field] == np.dtype("<u8") else True
+    values["seq"], held["seq"] = seq, np.ones(n, bool)
+    out = {x: pa.array(values[x], mask=~held[x]) for x in names}
+    out |= {"msg_type": _CHARS.take(pa.array(kinds)), "side": _CHARS.take(pa.array(values["side"], mask=~held["side"])), "priority_reset": pc.not_equal(out["priority_reset"], 0)}
+    out["symbol"] = pa.array(symbol, pa.string())
+    return packet, {x: out[x].cast(_ARROW[kind]) for x, kind in (f.split() for f in MESSAGE.split(", "))}
+
+
+def unpack_native(packets: DataFrame, *keep: str) -> DataFrame:
+    """One row for each message; seq is the packet's first plus the place in it. A cut-off or unknown message ends a packet.
+
+    Columns ``keep`` of the packets come along. A batch is decoded as a whole, one numpy type for each message type. Ids and times of
+    2^63 or more, which a long cannot hold, are null.
+    """
 
     def unpack(batches):
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for line, packet, data in zip(*(batch.column(c).to_pylist() for c in ("line_id", "packet_no", "payload"))):
-                if data is None or len(data) < 8:
-                    continue
-                first, _, _, count = struct.unpack_from("<IHBB", data)
-                at = 8
-                for i in range(count):
-                    kind = data[at + 8 : at + 9].decode("latin1")
-                    if kind not in NATIVE or at + WIDTHS[kind] > len(data):
-                        break
-                    time, _, *values = struct.unpack_from(NATIVE[kind], data, at)
-                    at += WIDTHS[kind]
-                    row = dict(zip(NATIVE_FIELDS[kind], values), line_id=line, packet_no=packet, seq=first + i, feed_time=time, msg_type=kind)
-                    for n in names:
-                        v = row.get(n)
-                        out[n].append(v.rstrip(b" \0").decode("latin1") if isinstance(v, bytes) else v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]]) for n, x in zip(names, DECODED.split(", "))], names)
-
-    return packets.select("line_id", "packet_no", "payload").mapInArrow(unpack, DECODED)
+            packet, columns = native_messages(batch.column("payload"))
+            take = pa.array(packet)
+            own = [batch.column(c).take(take) for c in ("line_id", "packet_no", *keep)]
+            yield pa.RecordBatch.from_arrays([*own[:2], *columns.values(), *own[2:]], ["line_id", "packet_no", *columns, *keep])
+
+    rows = packets.select("line_id", "packet_no", "payload", *keep)
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(unpack, DECODED + more)
 
 
 # ITCH
@@ -115,27 +207,43 @@ def datagrams(frames: DataFrame) -> DataFrame:
     return out.where("msg_count > 0").drop("p", "frame")
 
 
+def walk_blocks(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Datagram, place in it, first and last byte (exclusive) of every block; all datagrams walk together."""
+    live, place, found, k = np.arange(len(counts)), at[:-1], [], 0
+    end = at[1:]
+    while len(live := live[keep := (counts[live] > k) & (place + 3 <= end[live])]):
+        place = place[keep]
+        size = data[place].astype(np.int64) << 8 | data[place + 1]
+        whole = (size >= 1) & (place + 2 + size <= end[live])
+        live, place, size = live[whole], place[whole], size[whole]
+        found.append((live, np.full(len(live), k), place + 2, place + 2 + size))
+        place, k = place + 2 + size, k + 1
+    gram, step, first, last = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+    order = np.argsort(first, kind="stable")
+    return gram[order], step[order], first[order], last[order]
+
+
+def blocks_of(counts: pa.Array, blocks: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """For whole columns of message counts and blocks: which row each message comes from, and idx, type and body."""
+    data, at = _columns(pa.RecordBatch.from_arrays([blocks], ["b"]), "b")
+    gram, step, first, last = walk_blocks(data, at, pc.fill_null(counts, 0).to_numpy(zero_copy_only=False))
+    edges = np.empty(2 * len(first), np.int64)
+    edges[0::2], edges[1::2] = first, last
+    bodies = _binary(data, edges).take(pa.array(np.arange(0, max(0, len(edges) - 1), 2))).cast(pa.binary())
+    return gram, [pa.array(step, pa.int32()), _CHARS.take(pa.array(data[first] if len(first) else np.zeros(0, np.uint8))), bodies]
+
+
 def messages(grams: DataFrame) -> DataFrame:
-    """session, seqno, idx, type, body: length-prefixed blocks; an empty or overrunning block ends its datagram."""
+    """session, seqno, idx, type, body: length-prefixed blocks; an empty or overrunning block ends its datagram.
+
+    The datagrams of a batch are walked together; bodies are cut out of the batch's bytes without an object for each.
+    """
 
     def walk(batches):
         for batch in batches:
-            owner, idx, bodies = [], [], []
-            for i, (count, data) in enumerate(zip(batch.column("msg_count").to_pylist(), batch.column("blocks").to_pylist())):
-                at = 0
-                for n in range(count):
-                    if at + 3 > len(data):
-                        break
-                    size = int.from_bytes(data[at : at + 2], "big")
-                    if size < 1 or at + 2 + size > len(data):
-                        break
-                    owner.append(i)
-                    idx.append(n)
-                    bodies.append(data[at + 2 : at + 2 + size])
-                    at += 2 + size
-            take = pa.array(owner, pa.int64())
-            kinds = pa.array([b[:1].decode("latin1") for b in bodies], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("session").take(take), batch.column("seqno").take(take), pa.array(idx, pa.int32()), kinds, pa.array(bodies, pa.binary())], ["session", "seqno", "idx", "type", "body"])
+            gram, columns = blocks_of(batch.column("msg_count"), batch.column("blocks"))
+            take = pa.array(gram)
+            yield pa.RecordBatch.from_arrays([batch.column("session").take(take), batch.column("seqno").take(take), *columns], ["session", "seqno", "idx", "type", "body"])
 
     return grams.select("session", "seqno", "msg_count", "blocks").mapInArrow(walk, "session string, seqno long, idx int, type string, body binary")
 
