@@ -44,6 +44,16 @@ q AS (SELECT *, hi - size AS lo FROM qu)"""
 _LATENCY = f"""{_MSGS}, ev AS (SELECT symbol_idx AS section, msg_type = 'A' AS starts, feed_time AS t, lead(msg_type = 'A') OVER w AS next, lead(feed_time) OVER w AS t2 FROM msgs WINDOW w AS (PARTITION BY symbol_idx ORDER BY feed_time, seq)),
 su AS (SELECT section, CAST(coalesce(sum(t2 - t) FILTER (starts AND NOT next), 0) AS BIGINT) AS total_ns, count(*) FILTER (starts) AS calls FROM ev GROUP BY section)"""
 
+_FEED = (_DELTAS.replace("FROM msgs WHERE order_id IS NOT NULL", "FROM kept WHERE order_id IN (SELECT order_id FROM kept WHERE msg_type = 'A')")
+    .replace("s0 AS (", """pl AS (SELECT CAST(symbol_idx % 16 AS INT) AS line_id, msgs.*, row_number() OVER (PARTITION BY symbol_idx % 16 ORDER BY seq) + (SELECT count(*) FROM supplier WHERE s_suppkey % 16 = symbol_idx % 16) AS lseq FROM msgs),
+kept AS (SELECT * FROM pl WHERE ((lseq - 1) // 20) % 143 <> 7),
+s0 AS (""", 1))
+_BBO = """tm AS (SELECT DISTINCT symbol_idx, seq FROM hi),
+      be AS (SELECT t.symbol_idx, t.seq, max(h.price) FILTER (h.side = 'B') AS bid_price, max_by(h.agg_size, h.price) FILTER (h.side = 'B') AS bid_size, min(h.price) FILTER (h.side = 'S') AS ask_price, min_by(h.agg_size, h.price) FILTER (h.side = 'S') AS ask_size
+        FROM tm t LEFT JOIN hi h ON h.symbol_idx = t.symbol_idx AND h.seq <= t.seq AND (h.next_seq IS NULL OR h.next_seq > t.seq) AND h.num_orders > 0 GROUP BY ALL),
+      ch AS (SELECT *, lag((bid_price, bid_size, ask_price, ask_size), 1, (NULL, NULL, NULL, NULL)) OVER (PARTITION BY symbol_idx ORDER BY seq) AS was FROM be),
+      bb AS (SELECT seq, symbol_idx, bid_price, bid_size, ask_price, ask_size FROM ch WHERE (bid_price, bid_size, ask_price, ask_size) IS DISTINCT FROM was)"""
+
 ORACLE_SQL = {
     "packet_source": f"WITH {_NATIVE} SELECT line_id, packet_no, min(seq) AS first_seq, CAST(sum(width) + 8 AS INT) AS len, 45 AS ver, CAST(count(*) AS INT) AS msg_cnt, CAST(sum(width) + 8 AS INT) AS bytes FROM wd GROUP BY line_id, packet_no",
     "packet_roundtrip": f"""WITH {_NATIVE} SELECT packet_no, seq, feed_time, msg_type, CASE msg_type WHEN 'A' THEN symbol_idx END AS symbol_idx, order_id, CASE msg_type WHEN 'A' THEN side END AS side,
@@ -118,5 +128,8 @@ ORACLE_SQL = {
     "stream_book": f"WITH {_DELTAS} SELECT * FROM de",
     "stream_native_book": f"""WITH {_DELTAS}, {_SEC} SELECT seq, symbol_idx, side, price, d_size, d_orders, symbol, scale, NULL::VARCHAR AS reason FROM de LEFT JOIN sec USING (symbol_idx)
       UNION ALL SELECT seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN order_id IS NULL THEN 'unknown' ELSE 'dead' END FROM msgs WHERE seq NOT IN (SELECT seq FROM st)""",
+    "stream_feed": f"""WITH {_FEED}, {_SEC} SELECT 'level' AS kind, line_id, lseq AS seq, de.feed_time, de.symbol_idx, de.side, de.price, d_size, d_orders, CASE WHEN scale IS NOT NULL THEN 'S' || de.symbol_idx END AS symbol, scale, NULL::VARCHAR AS reason FROM de JOIN kept USING (seq) LEFT JOIN sec ON sec.symbol_idx = de.symbol_idx
+      UNION ALL SELECT 'reject', line_id, lseq, feed_time, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN order_id IN (SELECT order_id FROM kept WHERE msg_type = 'A') THEN 'dead' ELSE 'unknown' END FROM kept WHERE seq NOT IN (SELECT seq FROM st)""",
+    "stream_bbo": f"WITH {_HISTORY.replace(_DELTAS, _FEED)}, {_BBO} SELECT line_id, lseq AS seq, bb.symbol_idx, bid_price, bid_size, ask_price, ask_size FROM bb JOIN kept USING (seq)",
     "stream_arbitration": f"WITH {_COPIES} SELECT DISTINCT line_id, first_seq FROM cp",
 }

@@ -32,9 +32,9 @@ def identities(msgs: DataFrame) -> DataFrame:
     uses = msgs.where("msg_type in ('A', 'R')").select("line_id", "seq", F.when(F.col("msg_type") == "A", F.col("order_id")).otherwise(F.col("new_order_id")).alias("id")).where("id is not null")
     born = uses.groupBy("line_id", "id").agg(F.min("seq").alias("birth"))
     replaces = msgs.where("msg_type = 'R' and order_id is not null").select("line_id", "seq", F.col("order_id").alias("id"), "new_order_id")
-    chosen = replaces.join(born, ["line_id", "id"]).where("seq > birth").withColumn("n", F.row_number().over(ids)).where("n = 1")
-    fresh = born.select("line_id", F.col("id").alias("new_order_id"), F.col("birth").alias("new_birth"))
-    chosen = cut(chosen.join(fresh, ["line_id", "new_order_id"]).where("seq = new_birth").select("line_id", "seq", "id", "new_order_id"))
+    fresh = born.select("line_id", F.col("id").alias("new_order_id"), F.col("birth").alias("seq"))
+    chosen = replaces.join(fresh, ["line_id", "new_order_id", "seq"]).join(born, ["line_id", "id"]).where("seq > birth")  # one to an id that exists passes nothing on
+    chosen = cut(chosen.withColumn("n", F.row_number().over(ids)).where("n = 1").select("line_id", "seq", "id", "new_order_id"))
     msgs = msgs.where("order_id is not null")
     named = msgs.withColumn("chain", F.col("order_id"))
     if not chosen.isEmpty():
