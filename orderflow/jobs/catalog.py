@@ -12,7 +12,7 @@ from ..functions import scalars
 from ..functions.cut import cut, shared_folder
 from ..operators import bbo, levels, lifecycle, lines, matching, stats
 from ..schemas import DELTAS
-from ..sources import testfeed, udtf, wire
+from ..sources import capture, testfeed, udtf, wire
 from ..streaming import book as streams
 from ..streaming import feed
 
@@ -160,6 +160,51 @@ def event_log(spark, d):
     return wire.event_log(wire.decode_add(m), wire.decode_execute(m), wire.decode_delete(m))
 
 
+@query
+def event_log_text(spark, d):
+    """The log as text files, read again."""
+    folder = shared_folder(spark, "log") + "/lines"
+    m = itch_msgs(spark, d)
+    wire.write_lines(wire.event_log(wire.decode_add(m), wire.decode_execute(m), wire.decode_delete(m)), folder, "seq")
+    return spark.read.text(folder).select(F.col("value").alias("line"), F.length("value").alias("n_chars"))
+
+
+@query
+def depth_report_text(spark, d):
+    """The three best levels of each side as a report in text files."""
+    folder = shared_folder(spark, "depth") + "/lines"
+    top = levels.top(built(spark, d)).withColumn("line", F.format_string("%5d %s %2d %8d %8d", "symbol_idx", "side", "idx", "price", "agg_size"))
+    wire.write_lines(top, folder, "symbol_idx", "side", "idx")
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query
+def capture_roundtrip(spark, d):
+    """Native packets in capture files, read in ranges of 256 kB; one feed's packets are decoded."""
+    folder = shared_folder(spark, "capture") + "/pcap"
+    capture.register(spark)
+    packets = wire.pack_native(native_msgs(spark, d))
+    frame = capture.framed(F.col("payload"), F.lit(GROUP), F.lit(26_400) + F.col("packet_no") % 3)
+    packets.select((F.col("packet_no") * 1_000_000_007).alias("ts_ns"), F.lit(None).cast("int").alias("orig_len"), frame.alias("frame")).write.format("pcap").mode("append").save(folder)
+    ip, port = capture.destination(F.col("frame"))
+    read = spark.read.format("pcap").option("rangeBytes", 1 << 18).load(folder).withColumns({"dst_ip": ip, "dst_port": port})
+    own = wire.feed(read, GROUP, PORT).where(F.length("frame") > wire.PREFIX)
+    payload = own.select(F.lit(0).alias("line_id"), F.expr("ts_ns div 1000000007").alias("packet_no"), F.expr(f"substring(frame, {wire.PREFIX + 1})").alias("payload"))
+    return wire.unpack_native(payload).select("packet_no", "seq", "feed_time", "msg_type", "order_id", "price", "size")
+
+
+@query
+def capture_stream(spark, d):
+    """Captures that come one after the other as a stream of frames, decoded."""
+    folder = shared_folder(spark, "captures")
+    capture.register(spark)
+    frames = cut(itch_source(spark, d).select((F.col("packet_no") * 1_000).alias("ts_ns"), F.lit(None).cast("int").alias("orig_len"), "frame", "packet_no"))
+    for part in range(3):
+        frames.where(F.col("packet_no") % 3 == part).drop("packet_no").write.format("pcap").mode("append").save(f"{folder}/pcap")
+    out = streams.run_once(streams.decode(spark.readStream.format("pcap").option("rangeBytes", 1 << 18).load(f"{folder}/pcap")), folder)
+    return out.select("type", (F.col("seqno") + F.col("idx")).alias("seq"), F.length("body").alias("bytes"))
+
+
 @query
 def msg_type_counts(spark, d):
     return msgs(spark, d).groupBy("msg_type").agg(F.count(F.lit(1)).alias("msgs"))

@@ -44,6 +44,8 @@ q AS (SELECT *, hi - size AS lo FROM qu)"""
 _LATENCY = f"""{_MSGS}, ev AS (SELECT symbol_idx AS section, msg_type = 'A' AS starts, feed_time AS t, lead(msg_type = 'A') OVER w AS next, lead(feed_time) OVER w AS t2 FROM msgs WINDOW w AS (PARTITION BY symbol_idx ORDER BY feed_time, seq)),
 su AS (SELECT section, CAST(coalesce(sum(t2 - t) FILTER (starts AND NOT next), 0) AS BIGINT) AS total_ns, count(*) FILTER (starts) AS calls FROM ev GROUP BY section)"""
 
+_LOG = f"""WITH {_ITCH} SELECT seq, CASE WHEN type IN ('A', 'F') THEN printf('[ADD] %-8s %s %6d @ %9.4f  ref=%-20d  ts=%d ns', 'S' || symbol_idx, side, size, CAST(price AS DOUBLE) / 100, order_id, ns)
+      WHEN type = 'E' THEN printf('[EXEC] ref=%-20d  shares=%6d  match=%d  ts=%d ns', coalesce(order_id, 0), size, seq, ns) ELSE printf('[DEL] ref=%-20d  ts=%d ns', coalesce(order_id, 0), ns) END AS line FROM it WHERE type IN ('A', 'F', 'E', 'D')"""
 _FEED = (_DELTAS.replace("FROM msgs WHERE order_id IS NOT NULL", "FROM kept WHERE order_id IN (SELECT order_id FROM kept WHERE msg_type = 'A')")
     .replace("s0 AS (", """pl AS (SELECT CAST(symbol_idx % 16 AS INT) AS line_id, msgs.*, row_number() OVER (PARTITION BY symbol_idx % 16 ORDER BY seq) + (SELECT count(*) FROM supplier WHERE s_suppkey % 16 = symbol_idx % 16) AS lseq FROM msgs),
 kept AS (SELECT * FROM pl WHERE ((lseq - 1) // 20) % 143 <> 7),
@@ -67,8 +69,11 @@ ORACLE_SQL = {
     "itch_add": f"WITH {_ITCH} SELECT seq, symbol_idx AS locate, ns AS ts_ns, order_id AS ref, side, size AS shares, 'S' || symbol_idx AS stock, CAST(CAST(CAST(price AS DECIMAL(18, 4)) / 100 AS DECIMAL(18, 4)) AS DOUBLE) AS price FROM it WHERE type IN ('A', 'F')",
     "itch_execute": f"WITH {_ITCH} SELECT seq, symbol_idx AS locate, ns AS ts_ns, coalesce(order_id, 0) AS ref, size AS executed_shares, seq AS match_num FROM it WHERE type = 'E'",
     "itch_delete": f"WITH {_ITCH} SELECT seq, symbol_idx AS locate, ns AS ts_ns, coalesce(order_id, 0) AS ref FROM it WHERE type = 'D'",
-    "event_log": f"""WITH {_ITCH} SELECT seq, CASE WHEN type IN ('A', 'F') THEN printf('[ADD] %-8s %s %6d @ %9.4f  ref=%-20d  ts=%d ns', 'S' || symbol_idx, side, size, CAST(price AS DOUBLE) / 100, order_id, ns)
-      WHEN type = 'E' THEN printf('[EXEC] ref=%-20d  shares=%6d  match=%d  ts=%d ns', coalesce(order_id, 0), size, seq, ns) ELSE printf('[DEL] ref=%-20d  ts=%d ns', coalesce(order_id, 0), ns) END AS line FROM it WHERE type IN ('A', 'F', 'E', 'D')""",
+    "event_log": _LOG,
+    "event_log_text": f"SELECT line, CAST(length(line) AS INT) AS n_chars FROM ({_LOG})",
+    "depth_report_text": f"WITH {_LEVELS} SELECT printf('%5d %s %2d %8d %8d', symbol_idx, side, idx, price, agg_size) AS line FROM rk WHERE idx < 3",
+    "capture_roundtrip": f"WITH {_NATIVE} SELECT packet_no, seq, feed_time, msg_type, order_id, CASE WHEN msg_type IN ('A', 'M') THEN price END AS price, CASE WHEN msg_type <> 'D' THEN size END AS size FROM nat WHERE packet_no % 3 = 1",
+    "capture_stream": f"WITH {_ITCH} SELECT type, seq, width AS bytes FROM iw WHERE type <> 'S'",
     "msg_type_counts": f"WITH {_MSGS} SELECT msg_type, count(*) AS msgs FROM msgs GROUP BY msg_type",
     "order_lifecycle": f"WITH {_DELTAS} SELECT * FROM de",
     "order_modify": f"WITH {_DELTAS} SELECT seq, symbol_idx, side, price, d_size, d_orders FROM de WHERE seq IN (SELECT seq FROM msgs WHERE msg_type = 'M')",

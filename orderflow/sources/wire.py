@@ -288,6 +288,11 @@ def event_log(add: DataFrame, execute: DataFrame, delete: DataFrame) -> DataFram
     return lines[0].unionByName(lines[1]).unionByName(lines[2])
 
 
+def write_lines(lines: DataFrame, folder: str, *order: str) -> None:
+    """``line`` as text files that follow each other in the given order, by name and within; they appear when all are written."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(folder)
+
+
 def route(msgs: DataFrame, handlers: dict) -> None:
     """Calls ``handlers[type]`` with the messages of that type; for foreachBatch as well."""
     for kind, handle in handlers.items():
