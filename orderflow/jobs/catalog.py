@@ -293,7 +293,7 @@ def total_shares(spark, d):
 
 @query
 def level_count(spark, d):
-    return levels.level_count(built(spark, d).where("side = 'B'"), securities(spark, d).unionByName(securities(spark, d).withColumn("symbol_idx", -F.col("symbol_idx") - 1)))
+    return levels.level_count(built(spark, d), securities(spark, d).unionByName(securities(spark, d).withColumn("symbol_idx", -F.col("symbol_idx") - 1)))
 
 
 @query
@@ -414,13 +414,23 @@ def bbo_timeline(spark, d):
     return bbo.timeline(levels.history(level_deltas(spark, d)))
 
 
+@query
+def bbo_by_nodes(spark, d):
+    return bbo.timeline_by_nodes(cut(levels.history(level_deltas(spark, d))))
+
+
+@query
+def queue_timeline(spark, d):
+    return levels.queue_timeline(cut(states(spark, d)))
+
+
 @query
 def sweep_interleaved(spark, d):
     m = msgs(spark, d)
     taker = F.col("msg_type") == "E"
     # native feeds tell the symbol of an add only
     m = m.withColumn("symbol_idx", F.when(F.col("msg_type").isin("A", "E"), F.col("symbol_idx")))
-    flow = m.where("order_id is not null").withColumns({"side": F.when(taker, F.when(F.col("side") == "B", "S").otherwise("B")).otherwise(F.col("side")), "msg_type": F.when(taker, "X").otherwise(F.col("msg_type"))})
+    flow = m.where(taker | F.col("order_id").isNotNull()).withColumns({"side": F.when(taker, F.when(F.col("side") == "B", "S").otherwise("B")).otherwise(F.col("side")), "msg_type": F.when(taker, "X").otherwise(F.col("msg_type"))})
     return matching.sweep_interleaved(flow)
 
 
@@ -474,6 +484,12 @@ def timings(m: DataFrame) -> DataFrame:
     return m.select(F.col("symbol_idx").alias("section"), kind.alias("event"), F.col("feed_time").alias("t_ns"), F.col("seq").alias("n"))
 
 
+@query
+def executed_by_order(spark, d):
+    """Executions of each order; those of no known order are counted together by symbol."""
+    return stats.executed(msgs(spark, d), "symbol_idx", "order_id")
+
+
 @query
 def latency_summary(spark, d):
     m = msgs(spark, d)

@@ -88,7 +88,7 @@ ORACLE_SQL = {
     "level_build": f"WITH {_LEVELS} SELECT * FROM lv",
     "book_snapshot": f"WITH {_DELTAS} SELECT symbol_idx, side, price, CAST(sum(d_size) AS BIGINT) AS agg_size, CAST(sum(d_orders) AS BIGINT) AS num_orders, max(seq) AS last_seq FROM de WHERE seq <= 5000 GROUP BY ALL HAVING sum(d_orders) > 0",
     "total_shares": f"WITH {_REST} SELECT symbol_idx, side, CAST(sum(size) AS BIGINT) AS shares FROM rest GROUP BY ALL",
-    "level_count": f"WITH {_LEVELS}, {_SEC} SELECT symbol_idx, count(price) AS levels, count(price) = 0 AS empty FROM (SELECT symbol_idx FROM sec UNION ALL SELECT -symbol_idx - 1 FROM sec) LEFT JOIN (SELECT * FROM lv WHERE side = 'B') USING (symbol_idx) GROUP BY symbol_idx",
+    "level_count": f"WITH {_LEVELS}, {_SEC} SELECT symbol_idx, count(price) AS levels, count(price) = 0 AS empty FROM (SELECT symbol_idx FROM sec UNION ALL SELECT -symbol_idx - 1 FROM sec) LEFT JOIN lv USING (symbol_idx) GROUP BY symbol_idx",
     "best_bid_offer": f"""WITH {_LEVELS} SELECT symbol_idx, max(price) FILTER (side = 'B') AS bid_price, max_by(agg_size, price) FILTER (side = 'B') AS bid_size,
       min(price) FILTER (side = 'S') AS ask_price, min_by(agg_size, price) FILTER (side = 'S') AS ask_size FROM lv GROUP BY symbol_idx""",
     "price_band_depth": f"WITH {_REST} SELECT symbol_idx, side, ticks // 1024 AS page, CAST(sum(size) AS BIGINT) AS agg_size, count(*) AS num_orders, count(DISTINCT ticks % 1024) AS slots FROM rest GROUP BY ALL",
@@ -121,6 +121,12 @@ ORACLE_SQL = {
         FROM tm t LEFT JOIN hi h ON h.symbol_idx = t.symbol_idx AND h.seq <= t.seq AND (h.next_seq IS NULL OR h.next_seq > t.seq) AND h.num_orders > 0 GROUP BY ALL),
       ch AS (SELECT *, lag((bid_price, bid_size, ask_price, ask_size), 1, (NULL, NULL, NULL, NULL)) OVER (PARTITION BY symbol_idx ORDER BY seq) AS was FROM be)
       SELECT seq, symbol_idx, bid_price, bid_size, ask_price, ask_size FROM ch WHERE (bid_price, bid_size, ask_price, ask_size) IS DISTINCT FROM was""",
+    "bbo_by_nodes": f"WITH {_HISTORY}, {_BBO} SELECT * FROM bb",
+    "queue_timeline": f"""WITH {_STATES}, li AS (SELECT *, lead(seq) OVER (PARTITION BY order_id ORDER BY seq) AS next_seq,
+      max(CASE WHEN msg_type = 'A' OR price <> was_price THEN seq END) OVER (PARTITION BY order_id ORDER BY seq) AS priority FROM st)
+      SELECT q.seq, q.order_id, q.symbol_idx, q.side, q.price, q.rem AS size, count(o.seq) + 1 AS position, CAST(coalesce(sum(o.rem), 0) AS BIGINT) AS size_ahead
+      FROM li q LEFT JOIN li o ON o.symbol_idx = q.symbol_idx AND o.side = q.side AND o.price = q.price AND o.priority < q.priority AND o.rem > 0 AND o.seq <= q.seq AND (o.next_seq IS NULL OR o.next_seq > q.seq)
+      WHERE q.rem > 0 GROUP BY ALL""",
     "seq_numbering": f"WITH {_COUNTS} SELECT line_id, packet_no, msg_cnt, CAST(1000 + coalesce(sum(msg_cnt) OVER (PARTITION BY line_id ORDER BY packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_seq FROM pc",
     "line_traffic": f"WITH {_COUNTS} SELECT line_id, count(*) AS packets, CAST(sum(msg_cnt) AS BIGINT) AS messages, CAST(sum(len) AS BIGINT) AS bytes FROM pc GROUP BY line_id",
     "seq_gaps": """SELECT 0 AS line_id, event_id AS first_seq, expected, CASE WHEN event_id > expected THEN 'gap' ELSE 'overlap' END AS kind FROM (SELECT event_id, lag(event_id + 1) OVER (ORDER BY event_id) AS expected FROM events WHERE event_id % 97 <> 0) WHERE expected <> event_id""",
@@ -128,6 +134,7 @@ ORACLE_SQL = {
     "line_arbitration": f"WITH {_COPIES} SELECT line_id, first_seq, phys_line, arrival_ns FROM cp QUALIFY row_number() OVER (PARTITION BY line_id, first_seq ORDER BY arrival_ns, phys_line) = 1",
     "latency_summary": f"WITH {_LATENCY} SELECT *, total_ns / calls AS mean_ns FROM su WHERE calls > 0",
     "latency_ticks": f"WITH {_LATENCY} SELECT section, total_ns / 3.7e9::DOUBLE AS total_s, calls, total_ns / 3.7e9::DOUBLE / calls AS mean_s FROM su WHERE calls > 0",
+    "executed_by_order": f"WITH {_MSGS} SELECT symbol_idx, order_id, CAST(sum(size) AS BIGINT) AS shares, count(*) AS executions FROM msgs WHERE msg_type = 'E' GROUP BY symbol_idx, order_id",
     "executed_volume": f"WITH {_MSGS} SELECT symbol_idx, CAST(sum(size) AS BIGINT) AS shares, count(*) AS executions FROM msgs WHERE msg_type = 'E' GROUP BY symbol_idx",
     "stream_decode": f"WITH {_ITCH} SELECT type, seq, width AS bytes FROM iw WHERE type <> 'S'",
     "stream_book": f"WITH {_DELTAS} SELECT * FROM de",

@@ -1,4 +1,4 @@
-"""Best bid and offer after every message, folded in slices of a symbol's history."""
+"""Best bid and offer after every message: folded in slices of a symbol's history, or joined from intervals without a fold."""
 
 from __future__ import annotations
 
@@ -93,3 +93,29 @@ def timeline(history: DataFrame, width: int = SLICE) -> DataFrame:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["seq", "symbol_idx", "bid_price", "bid_size", "ask_price", "ask_size"]).astype({c: "Int64" for c in ("bid_price", "bid_size", "ask_price", "ask_size")})
+
+
+def timeline_by_nodes(history: DataFrame) -> DataFrame:
+    """The rows of ``timeline`` from joins and aggregates alone: no fold, no order of work within a symbol.
+
+    The interval of seq in which a level has its size is split into dyadic nodes (runs of 2^k numbers that begin at a multiple of it), two
+    for each k at most. A node keeps the best price of those that cover it. A point of time lies in one node for each k, so the best price
+    then is the best of log2(n) nodes, found by one equi-join. Each message asks for its own seq and the number before, and makes a row
+    where the two differ. A node is one row, so a node that many messages ask for is a skewed join with one row on the other side.
+    """
+    top = max(1, int(history.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]).bit_length() + 1)
+    key = F.col("price") * F.when(F.col("side") == "B", -1).otherwise(1)
+    held = history.where("num_orders > 0").select("symbol_idx", "side", F.struct(key.alias("key"), "price", "agg_size").alias("best"), F.col("seq").alias("a"), F.coalesce("next_seq", F.lit(1 << top)).alias("b"))
+    # at size 2^k the whole nodes inside [a, b) are those from ceil(a / 2^k) to floor(b / 2^k); only an odd end is no part of a larger one
+    ends = "transform(sequence(0, {k}), k -> struct(k, shiftright(a + shiftleft(1L, k) - 1, k) AS lo, shiftright(b, k) AS hi))"
+    nodes = "flatten(transform(filter(ends, e -> e.lo < e.hi), e -> array(struct(e.k, e.lo AS i, e.lo % 2 = 1 AS odd), struct(e.k, e.hi - 1 AS i, e.hi % 2 = 1 AS odd))))"
+    split = held.withColumn("ends", F.expr(ends.format(k=top))).select("symbol_idx", "side", "best", F.explode(F.expr(f"filter({nodes}, n -> n.odd)")).alias("n"))
+    best = split.groupBy("symbol_idx", "side", "n.k", "n.i").agg(F.min("best").alias("best"))
+
+    asked = history.select("symbol_idx", "seq").distinct()
+    points = asked.select("symbol_idx", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("back")).select("symbol_idx", "seq", "back", (F.col("seq") - F.col("back")).alias("t")).where("t >= 0")
+    points = points.select("symbol_idx", "seq", "back", F.explode(F.expr(f"transform(sequence(0, {top}), k -> struct(k, shiftright(t, k) AS i))")).alias("n")).select("symbol_idx", "seq", "back", "n.k", "n.i")
+    side = lambda back, s: F.min(F.when((F.col("back") == back) & (F.col("side") == s), F.col("best")))
+    found = points.join(best, ["symbol_idx", "k", "i"]).groupBy("symbol_idx", "seq").agg(side(0, "B").alias("bid"), side(0, "S").alias("ask"), side(1, "B").alias("was_bid"), side(1, "S").alias("was_ask"))
+    changed = found.where(~(F.col("bid").eqNullSafe(F.col("was_bid")) & F.col("ask").eqNullSafe(F.col("was_ask"))))
+    return changed.select("seq", "symbol_idx", F.col("bid.price").alias("bid_price"), F.col("bid.agg_size").alias("bid_size"), F.col("ask.price").alias("ask_price"), F.col("ask.agg_size").alias("ask_size"))

@@ -112,6 +112,40 @@ def queue_position(orders: DataFrame) -> DataFrame:
     return orders.select(*LEVEL, "order_id", "size", F.row_number().over(queue).alias("position"), ahead.alias("size_ahead"))
 
 
+def queue_timeline(states: DataFrame, width: int = 65_536) -> DataFrame:
+    """Place of an order in its level's queue, and the size ahead, after each of its own messages: seq, order_id, LEVEL, size, position, size_ahead.
+
+    ``states`` are those of lifecycle.order_states. Ahead are the orders of the level with an earlier priority_seq that live at that seq: a sum over
+    all changes with both an earlier priority and no later seq. Priorities before p are log2(p) dyadic nodes at most, and in each
+    node a running sum over seq tells what is there. Running sums are cut at multiples of ``width`` numbers, whose totals are carried,
+    so a level that holds a third of all orders is many tasks.
+    """
+    chain = W.partitionBy("line_id", "chain").orderBy("seq")
+    ok = states.where("reason is null").withColumn("was_priority", F.lag("priority_seq").over(chain))
+    top = max(1, int(ok.agg(F.coalesce(F.max("priority_seq"), F.lit(0))).first()[0]).bit_length())
+    left = F.struct(F.col("was_price").alias("price"), F.col("was_priority").alias("priority"), F.when(F.col("was_rem") > 0, -1).otherwise(0).alias("n"), (-F.col("was_rem")).alias("s"))
+    joined = F.struct("price", F.col("priority_seq").alias("priority"), F.when(F.col("rem") > 0, 1).otherwise(0).alias("n"), F.col("rem").alias("s"))
+    moves = ok.select("seq", "symbol_idx", "side", F.explode(F.array(left, joined)).alias("m")).select("seq", "symbol_idx", "side", "m.*").where("s <> 0")
+    moves = moves.groupBy("seq", *LEVEL, "priority").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # a node that stands for the priorities before p has an even number
+    nodes = F.expr(f"filter(transform(sequence(0, {top}), k -> struct(k, shiftright(priority, k) AS i)), x -> x.i % 2 = 0)")
+    asked_nodes = F.expr(f"transform(filter(sequence(0, {top}), k -> shiftright(priority_seq, k) % 2 = 1), k -> struct(k, shiftright(priority_seq, k) - 1 AS i))")
+    bucket = F.floor(F.col("seq") / width).alias("bucket")
+    moved = moves.select(*LEVEL, "seq", bucket, F.explode(nodes).alias("x"), "n", "s", F.lit(None).cast("long").alias("asked"))
+    live = ok.where("rem > 0").select("seq", F.when(F.col("msg_type") == "R", F.col("new_order_id")).otherwise(F.col("order_id")).alias("order_id"), *LEVEL, F.col("rem").alias("size"), "priority_seq")
+    asks = live.select(*LEVEL, "seq", bucket, F.explode(asked_nodes).alias("x"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"), F.col("seq").alias("asked"))
+    node = [*LEVEL, "k", "i"]
+    both = moved.unionByName(asks).select(*LEVEL, "x.k", "x.i", "bucket", "seq", "n", "s", "asked")
+    upto = W.partitionBy(*node, "bucket").orderBy("seq")  # with all of the same seq
+    inside = both.withColumns({"n": F.sum("n").over(upto), "s": F.sum("s").over(upto)}).where("asked is not null")
+    earlier = W.partitionBy(*node).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # a row for each bucket
+    totals = both.groupBy(*node, "bucket").agg(F.sum("n").alias("n0"), F.sum("s").alias("s0"))
+    carried = totals.withColumns({"n0": F.sum("n0").over(earlier), "s0": F.sum("s0").over(earlier)}).where("n0 <> 0 or s0 <> 0")
+    found = inside.join(carried, [*node, "bucket"], "left").groupBy(*LEVEL, "seq").agg(F.sum(F.col("n") + F.coalesce("n0", F.lit(0))).alias("before"), F.sum(F.col("s") + F.coalesce("s0", F.lit(0))).alias("ahead"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return live.join(found, [*LEVEL, "seq"], "left").select("seq", "order_id", *LEVEL, "size", (zero("before") + 1).alias("position"), zero("ahead").alias("size_ahead"))
+
+
 def erase(orders: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return orders.join(keys, on, "left_anti")
 
