@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.cut import cut, shared_folder
-from ..operators import bbo, levels, lifecycle, lines, matching, stats
+from ..operators import bbo, kept, levels, lifecycle, lines, matching, stats
 from ..schemas import DELTAS
 from ..sources import capture, testfeed, udtf, wire
 from ..streaming import book as streams
@@ -286,6 +287,14 @@ def book_snapshot(spark, d):
     return levels.snapshot(level_deltas(spark, d), SNAPSHOT_SEQ)
 
 
+@query
+def book_snapshots(spark, d):
+    """Books as of every 997th message, from an index."""
+    changes = cut(level_deltas(spark, d))
+    index = kept.index_snapshots(changes, shared_folder(spark, "snapshots"), 2_048)
+    return index.at_many(events(spark, d).where("event_id % 997 = 0").select(F.col("event_id").alias("at_seq")))
+
+
 @query
 def total_shares(spark, d):
     return levels.total_shares(built(spark, d))
@@ -375,6 +384,22 @@ def erase_keys(spark, d):
     return levels.erase(rest(spark, d).withColumn("order_key", F.expr("order_id div 8")), gone, ["order_key"]).select("order_id", "symbol_idx", "side", "price", "size")
 
 
+@query
+def keyed_table(spark, d):
+    """A kept table of orders: all items are sent, then those of finished orders erased, and some sent again."""
+    rows = testfeed.line_orders(testfeed.table(spark, d, "lineitem")).drop("ticks")
+    table = kept.KeyedTable(spark, f"orders_{uuid.uuid4().hex}", "order_id")
+    table.create(rows.where("insert_no = 1 and order_id % 2 = 0").drop("insert_no"))
+    sent = rows.withColumn("size", F.col("size") + F.col("insert_no"))
+    table.insert_absent(sent, "insert_no")
+    gone = testfeed.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.explode(F.sequence(F.col("o_orderkey") * 8, F.col("o_orderkey") * 8 + 7)).alias("order_id"))
+    table.erase(gone)
+    table.insert_absent(sent.where("order_id % 5 = 0").withColumn("size", -F.col("size")), "insert_no")
+    out = cut(table.read())
+    spark.sql(f"DROP TABLE {table.name}")
+    return out
+
+
 @query
 def level_payload(spark, d):
     packed = scalars.pack_level(F.col("symbol_idx"), F.col("feed_time"))

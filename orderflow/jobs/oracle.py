@@ -87,6 +87,12 @@ ORACLE_SQL = {
     "side_names": f"WITH {_MSGS} SELECT seq, side AS code, CASE side WHEN 'B' THEN 'BUY' ELSE 'SELL' END AS word, CASE side WHEN 'B' THEN 1 ELSE -1 END AS sign FROM msgs WHERE side IS NOT NULL",
     "level_build": f"WITH {_LEVELS} SELECT * FROM lv",
     "book_snapshot": f"WITH {_DELTAS} SELECT symbol_idx, side, price, CAST(sum(d_size) AS BIGINT) AS agg_size, CAST(sum(d_orders) AS BIGINT) AS num_orders, max(seq) AS last_seq FROM de WHERE seq <= 5000 GROUP BY ALL HAVING sum(d_orders) > 0",
+    "book_snapshots": f"""WITH {_DELTAS} SELECT event_id AS at_seq, de.symbol_idx, side, price, CAST(sum(d_size) AS BIGINT) AS agg_size, CAST(sum(d_orders) AS BIGINT) AS num_orders
+      FROM events JOIN de ON de.seq <= event_id WHERE event_id % 997 = 0 GROUP BY ALL HAVING sum(d_orders) > 0""",
+    "keyed_table": f"""WITH {_ROWS}, sent AS (SELECT symbol_idx, side, order_id, price, size + insert_no AS size FROM r0 WHERE insert_no = 1),
+      had AS (SELECT symbol_idx, side, order_id, price, size FROM r0 WHERE insert_no = 1 AND order_id % 2 = 0 UNION ALL SELECT * FROM sent WHERE order_id % 2 <> 0),
+      lef AS (SELECT * FROM had WHERE order_id // 8 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
+      SELECT * FROM lef UNION ALL SELECT symbol_idx, side, order_id, price, -size FROM sent WHERE order_id % 5 = 0 AND order_id NOT IN (SELECT order_id FROM lef)""",
     "total_shares": f"WITH {_REST} SELECT symbol_idx, side, CAST(sum(size) AS BIGINT) AS shares FROM rest GROUP BY ALL",
     "level_count": f"WITH {_LEVELS}, {_SEC} SELECT symbol_idx, count(price) AS levels, count(price) = 0 AS empty FROM (SELECT symbol_idx FROM sec UNION ALL SELECT -symbol_idx - 1 FROM sec) LEFT JOIN lv USING (symbol_idx) GROUP BY symbol_idx",
     "best_bid_offer": f"""WITH {_LEVELS} SELECT symbol_idx, max(price) FILTER (side = 'B') AS bid_price, max_by(agg_size, price) FILTER (side = 'B') AS bid_size,
