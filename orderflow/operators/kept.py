@@ -86,7 +86,8 @@ class KeyedTable:
 
     def create(self, rows: DataFrame) -> None:
         """The table from rows whose keys are unique."""
-        rows.select("*", self._part()).write.partitionBy("part").bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").saveAsTable(self.name)
+        rows = rows.select("*", self._part()).repartition(self.buckets, self.key)  # a task for each bucket, so a folder has one file of each
+        rows.write.partitionBy("part").bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name).drop("part")
@@ -125,6 +126,6 @@ class KeyedTable:
         before = self.spark.conf.get(mode)
         self.spark.conf.set(mode, "dynamic")  # an option of the write does not reach inserts into a table
         try:
-            now.write.insertInto(self.name, overwrite=True)
+            now.repartition(self.buckets, self.key).write.insertInto(self.name, overwrite=True)
         finally:
             self.spark.conf.set(mode, before)

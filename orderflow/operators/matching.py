@@ -16,6 +16,8 @@ from .lifecycle import identities
 
 #: Cumulative volume is cut into buckets of so many shares, so that the interval join has one more key.
 BUCKET = 2_000
+#: Numbers of seq whose aggressors are added up in one task.
+SPAN = 65_536
 
 
 def queue(orders: DataFrame) -> DataFrame:
@@ -37,14 +39,19 @@ def sweep(orders: DataFrame, quantity: int) -> DataFrame:
     return queue(orders).select(*BOOK, "price", "order_id", fill.alias("fill_size"), (F.col("size") - fill).alias("resting_left")).where("fill_size > 0")
 
 
-def sweep_many(orders: DataFrame, aggressors: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def sweep_many(orders: DataFrame, aggressors: DataFrame, bucket: int = BUCKET, span: int = SPAN) -> DataFrame:
     """Fills of many aggressors over a resting book: the overlaps of their and the orders' volume intervals.
 
     Both sides are cut at multiples of ``bucket``; an overlap is counted in the bucket where it begins, so the join is
-    an equi-join on symbol, side and bucket, and a busy symbol is spread over its volume.
+    an equi-join on symbol, side and bucket, and a busy symbol is spread over its volume. Aggressors are added up in spans of
+    seq, and only the totals of spans meet by symbol and side.
     """
-    turn = W.partitionBy(*BOOK).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    taker = aggressors.withColumn("a_hi", F.sum("quantity").over(turn)).withColumn("a_lo", F.col("a_hi") - F.col("quantity"))
+    own = aggressors.withColumn("_span", F.floor(F.col("seq") / span))
+    totals = own.groupBy(*BOOK, "_span").agg(F.sum("quantity").alias("_total"))
+    earlier = W.partitionBy(*BOOK).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*BOOK, "_span", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    turn = W.partitionBy(*BOOK, "_span").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    taker = own.join(before, [*BOOK, "_span"]).withColumn("a_hi", F.col("_before") + F.sum("quantity").over(turn)).withColumn("a_lo", F.col("a_hi") - F.col("quantity"))
     cut = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor((F.col(hi) - 1) / bucket))).alias("bucket")
     left = queue(orders).where("size > 0").select(*BOOK, "price", "order_id", "size", "lo", "hi", cut("lo", "hi"))
     right = taker.where("quantity > 0").select(*BOOK, "seq", "a_lo", "a_hi", cut("a_lo", "a_hi"))
