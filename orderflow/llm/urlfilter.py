@@ -13,8 +13,8 @@ from .common import Scratch
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Rank is counted in whole units, so that sums are exact in any order; 85 times MASS fits a long. DAMPING in percent.
 MASS, DAMPING = 10**17, 85
-#: Rounds end when ranks change by this part of all mass at most.
-TOLERANCE = 100
+#: Rounds end when no host's rank has grown by more than one part of TOLERANCE (what is left to come is then some 0.6 % of it); that is looked at every LEAP rounds.
+TOLERANCE, LEAP = 1_000, 4
 #: Second labels below which a country registers names: co.uk and the like are no owner's domain.
 REGISTRIES = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 REGISTRY = rf"^({'|'.join(REGISTRIES)})\.[a-z][a-z]$"
@@ -57,21 +57,28 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, tolerance: int = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank from ``seeds`` (host, weight) along ``edges`` (src, dst).
 
-    Rounds begin with the seeds' own shares and only add to ranks, until a round adds MASS / tolerance at most, so a host
-    at any distance is reached as long as what reaches it counts.
+    Rounds begin with the seeds' own shares and only add to ranks, until no round adds more than 1 / tolerance of its own
+    rank to any host. A host that is reached for the first time has grown by all of its rank, so a host at any distance
+    is reached, however small its part of all rank, as long as one whole unit gets there. LEAP rounds make one job.
     """
     total = seeds.agg(F.sum("weight")).first()[0] or 1
     start = scratch.write(seeds.select("host", F.expr(f"(cast(weight as decimal(19, 0)) * {MASS}BD) div {total}BD").alias("mass")), "start")
     kept = start.select("host", F.expr(f"mass * {100 - DAMPING}BD div 100BD").alias("rank"))
     out = scratch.write(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"), "outs")
-    rank, before, held = scratch.write(kept, "rank"), None, 0
-    while True:
-        now = rank.agg(F.sum("rank")).first()[0] or 0
-        if before is not None and now - held <= MASS // tolerance:
-            return rank
-        sent = out.join(rank, out.src == rank.host).select(F.col("dst").alias("host"), F.expr(f"(rank * {DAMPING} div 100) div out").alias("rank"))
-        before, held = rank, now
-        rank = scratch.write(sent.unionByName(kept).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+    rank = scratch.write(kept.withColumn("before", F.lit(0).cast("long")), "rank")
+    none = F.lit(0).cast("long")
+    while not rank.where(F.expr(f"rank - before > rank div {tolerance}")).isEmpty():
+        held, now = rank, rank.select("host", "rank")
+        for _ in range(LEAP):
+            last = now
+            sent = out.join(last, out.src == last.host).select(F.col("dst").alias("host"), F.expr(f"(rank * {DAMPING} div 100) div out").alias("rank"))
+            parts = sent.unionByName(kept)
+            now = parts.groupBy("host").agg(F.sum("rank").alias("rank"))
+        parts = parts.withColumn("before", none).unionByName(last.select("host", none.alias("rank"), F.col("rank").alias("before")))
+        last = parts.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        rank = scratch.write(last, "rank")
+        scratch.drop(held)
+    return rank.select("host", "rank")
 
 
 def judge_urls(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, str]] = RULES, tolerance: int = TOLERANCE) -> DataFrame:
@@ -110,27 +117,22 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark, "op7"))
 
 
-#: Rounds that the SQL has room for: what is added falls by DAMPING at least, and is below MASS / TOLERANCE by then.
-SQL_ROUNDS = 30
-
-
 def _rank_sql(name: str, src: str, dst: str, verdict: str) -> str:
     picked = f"FROM ruled WHERE host <> '' AND best.verdict = '{verdict}'"
-    steps = [f"""{name}_o AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS outs FROM edges),
+    grown = f"EXISTS (SELECT 1 FROM {name}_r WHERE rank - before > rank // {TOLERANCE}) OR EXISTS (SELECT 1 FROM {name}_r WHERE round % {LEAP} <> 0)"
+    return f"""{name}_o AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS outs FROM edges),
 {name}_s AS MATERIALIZED (SELECT host, CAST(CAST(CAST({MASS} AS HUGEINT) * count(*) // (SELECT count(*) {picked}) AS HUGEINT) * {100 - DAMPING} // 100 AS BIGINT) AS mass {picked} GROUP BY host),
-{name}_0 AS MATERIALIZED (SELECT host, mass AS rank FROM {name}_s), {name}_d0 AS (SELECT CAST({MASS} AS HUGEINT) AS added)"""]
-    for i in range(1, SQL_ROUNDS + 1):
-        more = f"(SELECT added FROM {name}_d{i - 1}) > {MASS // TOLERANCE}"
-        steps.append(f"""{name}_{i} AS MATERIALIZED (SELECT host, CAST(sum(rank) AS BIGINT) AS rank FROM (
-  SELECT o.dst AS host, (r.rank * {DAMPING} // 100) // o.outs AS rank FROM {name}_o o JOIN {name}_{i - 1} r ON r.host = o.src WHERE {more}
-  UNION ALL SELECT host, mass FROM {name}_s WHERE {more} UNION ALL SELECT host, rank FROM {name}_{i - 1} WHERE NOT ({more})) GROUP BY host),
-{name}_d{i} AS MATERIALIZED (SELECT coalesce((SELECT sum(rank) FROM {name}_{i}), 0) - coalesce((SELECT sum(rank) FROM {name}_{i - 1}), 0) AS added)""")
-    return ",\n".join(steps)
+{name}_r AS (SELECT 0 AS round, host, mass AS rank, CAST(0 AS BIGINT) AS before FROM {name}_s
+  UNION ALL SELECT round, host, CAST(sum(rank) AS BIGINT), CAST(sum(before) AS BIGINT) FROM (
+    SELECT r.round + 1 AS round, o.dst AS host, (r.rank * {DAMPING} // 100) // o.outs AS rank, CAST(0 AS BIGINT) AS before FROM {name}_r r JOIN {name}_o o ON o.src = r.host
+    UNION ALL SELECT (SELECT max(round) FROM {name}_r) + 1, host, mass, 0 FROM {name}_s
+    UNION ALL SELECT round + 1, host, 0, rank FROM {name}_r) WHERE {grown} GROUP BY round, host),
+{name} AS MATERIALIZED (SELECT host, rank FROM {name}_r WHERE round = (SELECT max(round) FROM {name}_r))"""
 
 
 _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
 OP7_SQL = f"""
-WITH cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, html, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{x}', '{v}')" for h, x, v in RULES)}) r(suffix, prefix, verdict)),
 ruled AS MATERIALIZED (SELECT p.page_id, any_value(p.host) AS host, any_value(p.path) AS path,
@@ -147,5 +149,5 @@ edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
 SELECT r.page_id, r.host, r.path, r.best.rule AS rule,
   coalesce(r.best.verdict, CASE WHEN coalesce(b.rank, 0) > coalesce(a.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(a.rank, 0) AS trust, coalesce(b.rank, 0) AS distrust
-FROM ruled r LEFT JOIN a_{SQL_ROUNDS} a ON a.host = r.host LEFT JOIN b_{SQL_ROUNDS} b ON b.host = r.host
+FROM ruled r LEFT JOIN a ON a.host = r.host LEFT JOIN b ON b.host = r.host
 """

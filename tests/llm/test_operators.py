@@ -523,6 +523,17 @@ def test_forest_is_compiled_and_held_out(spark):
 # 7: URL filters
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    """A thousand blocked hosts, one of which a chain leads to: distrust gets to the chain's far end, however little it is of all."""
+    from orderflow.llm import urlfilter
+
+    link = lambda to: f'<a href="http://{to}/">x</a>'
+    rows = [(i, f"http://b{i}.net/es/x", None) for i in range(1000)]
+    rows += [(1000 + i, f"http://k{i}.org/x", link("b0.net" if i == 1 else f"k{i - 1}.org")) for i in range(1, 25)]
+    out = urlfilter.judge_urls(spark.createDataFrame([*rows, (2000, "http://far.org/", link("far2.org"))], "page_id long, url string, html string"), Scratch(spark, "t")).collect()
+    assert all((r.verdict == "block") == (r.host[0] != "f") for r in out) and len(out) == 1025
+
+
 def test_hosts_far_away_and_large(spark):
     """A host ten million pages heavy does not overflow; trust and distrust reach hosts at any distance that counts."""
     from orderflow.llm import urlfilter
