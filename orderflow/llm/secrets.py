@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch
+from .linededup import let
 
 #: A candidate is a run of LONG or more characters of VALUE with a digit, or one of SHORT or more after a credential's name.
 LONG, SHORT = 16, 8
@@ -20,32 +21,57 @@ TRAIN, TREES, DEPTH = 2_500, 20, 5
 KNOWN = 5
 #: Up to so many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Of neighbouring words, so many characters are held, from the side next to the candidate.
+NEXT = 64
+#: Formats that tell a label are looked for in values of so many characters at most; longer ones have no label.
+FORMAT = 1_000
 CREDENTIAL = r"(?i)(pass|pwd|secret|token|key|auth|credential|bearer|login)"
 #: Classes of characters for transitions: a to z, digits, all others.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "transition", "switches", "digits", "uppers", "others", "distinct", "hex", "coverage", "path", "address", "named", "assigned")
 
 
+def values(word: Column) -> Column:
+    """Distinct values of a word in an array of (value, nth, ahead), of each its first place.
+
+    A word is cut at its values once. ahead is what stands before a value, back to the start of the value before the last
+    one, so an array grows with the word's length and no more.
+    """
+    found = F.regexp_extract_all(word, F.lit(f"({VALUE})"), F.lit(1))
+    gaps = F.split(word, VALUE)
+
+    def each(s: Column) -> Column:
+        at = lambda i, name: F.when(i >= 0, F.get(s[name], i)).otherwise("")
+        edge = lambda v: F.regexp_extract(v, "^[.&%!-]+", 0)
+        ahead = lambda v, i: F.concat(at(i - 1, "gaps"), at(i - 2, "found"), at(i - 1, "gaps"), at(i - 1, "found"), at(i, "gaps"), edge(v))
+        bare = lambda v: F.regexp_replace(v, r"^[.&%!-]+|[.&!-]+$", "")
+        return F.array_sort(F.transform(s["found"], lambda v, i: F.struct(bare(v).alias("value"), i.alias("nth"), ahead(v, i).alias("ahead"))))
+
+    several = let(F.struct(found.alias("found"), gaps.alias("gaps")), each)
+    return let(several, lambda rows: F.filter(rows, lambda r, i: (F.length(r["value"]) >= SHORT) & ((i == 0) | (F.get(rows, F.greatest(i - 1, F.lit(0)))["value"] != r["value"]))))
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, at, word, before, after, value, named, assigned: every candidate with its word number and neighbours.
+    """doc_id, text_key, at, link, before, after, value, named, assigned: every candidate with its word number and neighbours.
 
-    A word may hold several values, as in code or minified JSON; named is what stands before a value in its word, or the
-    word before, if that is a credential's name.
+    A word may hold several values, as in code or minified JSON; named is the value or two before it in its word, or the
+    word before, if that is a credential's name. link: the word begins with a scheme. before and after hold NEXT
+    characters at most.
     """
     words = F.split("text", f"[{SPACES}]+")
     plain = F.sequence(F.lit(0), F.size("words") - 1)
     word = lambda i: F.get("words", i)
     long = F.filter(plain, lambda i: (F.length(word(i)) >= SHORT) & ((F.length(word(i)) >= LONG) & word(i).rlike("[0-9]") | (i > 0) & word(i - 1).rlike("[:=]$") & word(i - 1).rlike(CREDENTIAL) | word(i).rlike("[:=]") & word(i).rlike(CREDENTIAL)))
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words.alias("words")).where(F.col("text").isNotNull())
-    near = F.transform(long, lambda i: F.struct(i.alias("at"), word(i).alias("word"), F.array_join(F.slice("words", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ").alias("before"), F.array_join(F.slice("words", i + 2, 2), " ").alias("after")))
+    before = lambda i: F.right(F.array_join(F.slice("words", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " "), F.lit(NEXT))
+    near = F.transform(long, lambda i: F.struct(i.alias("at"), word(i).rlike("^[a-z]+://").alias("link"), before(i).alias("before"), F.left(F.array_join(F.slice("words", i + 2, 2), " "), F.lit(NEXT)).alias("after"), values(word(i)).alias("values")))
     found = found.select("doc_id", "text_key", F.explode(near).alias("f")).select("doc_id", "text_key", "f.*")
-    found = found.select("*", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({VALUE})"), F.lit(1)))).alias("value"))
-    found = found.withColumn("value", F.regexp_replace("value", r"^[.&%!-]+|[.&!-]+$", ""))
-    ahead = F.call_function("substring_index", F.col("word"), F.col("value"), F.lit(1))
-    found = found.withColumn("named", F.concat_ws(" ", F.when(ahead.rlike("[:=]"), ahead), F.when(~ahead.rlike("[:=]"), F.col("before"))).rlike(CREDENTIAL))
-    found = found.withColumn("assigned", ahead.rlike(r"""[:=]["'`]?$""") | ((ahead.rlike(r"""^["'`]?$""")) & F.col("before").rlike("[:=]$")))
+    found = found.select("*", F.explode("values").alias("v")).select("doc_id", "text_key", "at", "link", "before", "after", "v.*")
+    told = F.col("ahead").rlike("[:=]")
+    found = found.withColumn("named", F.when(told, F.col("ahead").rlike(CREDENTIAL)).otherwise(F.concat_ws(" ", F.when(F.col("nth") < 2, F.col("before")), "ahead").rlike(CREDENTIAL)))
+    found = found.withColumn("assigned", F.col("ahead").rlike(r"""[:=]["'`]?$""") | ((F.col("nth") == 0) & F.col("ahead").rlike(r"""^["'`]?$""") & F.col("before").rlike("[:=]$")))
     long_enough = (F.length("value") >= LONG) & F.col("value").rlike("[0-9]")
-    return found.where(long_enough | ((F.length("value") >= SHORT) & F.col("named") & F.col("assigned")))
+    return found.where(long_enough | ((F.length("value") >= SHORT) & F.col("named") & F.col("assigned"))).drop("nth", "ahead")
 
 
 def transitions(words: DataFrame) -> list[float]:
@@ -81,7 +107,7 @@ def with_features(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFr
     share = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / n
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9"), "[^aA9]+", "-")
     found = found.select(
-        "doc_id", "text_key", "at", "word", "before", "after", "value", F.length(value).cast("double").alias("length"), mean_transition(value, table).alias("transition"), ((F.length(shape) - 1) / n).alias("switches"),
+        "doc_id", "text_key", "at", "link", "before", "after", "value", F.length(value).cast("double").alias("length"), mean_transition(value, table).alias("transition"), ((F.length(shape) - 1) / n).alias("switches"),
         share("[^0-9]").alias("digits"), share("[^A-Z]").alias("uppers"), share("[A-Za-z0-9]").alias("others"),
         (F.size(F.array_distinct(F.split(value, ""))) / n).alias("distinct"), value.rlike("^[0-9a-fA-F]+$").cast("double").alias("hex"),
         value.rlike(r"[/\\]|\.[a-z]{2,4}$").cast("double").alias("path"), F.instr(value, "@").cast("boolean").cast("double").alias("address"),
@@ -103,7 +129,7 @@ def label_by_format(found: DataFrame) -> DataFrame:
     """
     key = F.col("value").rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|[0-9a-f]{18}|[0-9a-f]{40})$")
     plain = F.col("value").rlike(r"(?i)^([\w.+-]+@[\w-]+(\.[\w-]+)+|\+?[0-9][0-9().-]+|(www\.|//|https?).*|[a-z]{3,}[0-9]{1,4}|[a-z_]+([./\\-][a-z_]+)+[0-9]{0,4}(\.[a-z]{1,4})?)$")
-    return found.withColumn("label", F.when(key, 1.0).when(plain | F.col("word").rlike("^[a-z]+://"), 0.0))
+    return found.withColumn("label", F.when(F.length("value") <= FORMAT, F.when(key, 1.0).when(plain, 0.0)).otherwise(F.when(F.col("link"), 0.0)))
 
 
 def train(labelled: DataFrame, scratch: Scratch, most: int = TRAIN, trees: int = TREES, depth: int = DEPTH, seed: int = 3) -> Column:

@@ -520,6 +520,24 @@ def test_forest_is_compiled_and_held_out(spark):
     assert out.label.sum() > 3 and (told & (out.label == 1)).sum() / max(1, told.sum()) > 0.9 and told[out.label == 1].mean() > 0.9
 
 
+def test_values_of_one_long_word(spark):
+    """Two megabytes of minified JSON are one word: each value once, named by its own key, in time that follows the length."""
+    import json
+    import time
+
+    inside = {f"key{i}" if i % 1000 else f"api_token{i}": f"v{i * 7919:022x}" for i in range(50_000)}
+    word = json.dumps({**inside, "again": inside["key1"]}, separators=(",", ":"))
+    docs = spark.createDataFrame([(1, word), (2, 'password="pre-x" ' + "a" * 70 + ' ["Zx9-Zx9-Zx9-Zx9-Zx9"]')], "doc_id long, text string")
+    began = time.time()
+    got = secrets.findings(docs).collect()
+    assert len(word) > 1_700_000 and time.time() - began < 60
+    first = [r for r in got if r.doc_id == 1]
+    assert sorted(r.value for r in first) == sorted(inside.values())
+    by_value = {v: k for k, v in inside.items()}
+    assert all(r.assigned and r.named == ("token" in by_value[r.value] or "key" in by_value[r.value]) and len(r.after) <= secrets.NEXT for r in first)
+    assert [(r.value, r.named, r.assigned, r.before) for r in got if r.doc_id == 2] == [("Zx9-Zx9-Zx9-Zx9-Zx9", False, False, "a" * 64)]
+
+
 # 7: URL filters
 
 
