@@ -181,7 +181,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, scratch: Scratch, fold: int =
     ids = F.broadcast(ids.withColumn("_in", F.lit(True))) if ids.count() <= BROADCAST_IDS else ids.withColumn("_in", F.lit(True))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     blocks = int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
-    block: Column = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("long")
+    block: Column = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")  # rows of one id, or of none, are dealt out
     base = base.join(ids, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", F.coalesce("_in", F.lit(False)).alias("trusted"), block.alias("block"))
     dealt = base.repartition(min(4 * blocks, PARTITIONS), "block")  # so that few blocks meet in a task
 
