@@ -150,7 +150,9 @@ def _terms(batches):
 
 
 def indexes(benchmark: DataFrame, items: int = ITEMS):
-    """Broadcast indexes of at most about ``items`` items each (item_id, text); items without words are left out.
+    """Broadcast indexes, with the copies of their items, of about ``items`` distinct items each (item_id, text).
+
+    Items without words are left out, and copies of an item are held once. One index at a time is in the driver's memory.
 
     Lengths and the items of a term are counted over the whole benchmark, so scores do not depend on ``items``.
     """
@@ -158,17 +160,18 @@ def indexes(benchmark: DataFrame, items: int = ITEMS):
     rows = benchmark.select("item_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     terms = rows.select("text").mapInArrow(_terms, "term long, long long").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("long").alias("long"))
     n = rows.count()
-    shards = max(1, -(-n // items))
+    single = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    shards = max(1, -(-single.count() // items))
     total = terms.agg(F.sum("long")).first()[0] or 0
     for shard in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
+        part = single.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
         held = part.orderBy("item_id", "text").collect()
         mine = part.select("text").mapInArrow(_terms, "term long, long long").select("term").distinct()
         table = terms.join(mine, "term", "left_semi").select("term", "df").toPandas()  # bounded by the words of a shard
         known = table["term"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(known)
         overall = (n, total / max(1, n), known[order], table["df"].to_numpy(np.int64)[order])
-        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in held], [r["text"] for r in held], overall))
+        yield spark.sparkContext.broadcast((Index([r["item_id"] for r in held], [r["text"] for r in held], overall), np.array([r["copies"] for r in held], np.int64)))
 
 
 def passes(benchmark: DataFrame, items: int):
@@ -194,10 +197,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
         def run(batches, asked=asked):
             for batch in batches:
                 for part in tokens.slices(batch, "text"):
-                    for index in asked:
-                        found = index.value.matches(part.column("text"))
-                        columns = [part.column("doc_id").take(pa.array([t for t, _ in found], pa.int64())), index.value.ids.take(pa.array([i for _, i in found], pa.int64()))]
-                        columns += [pa.array([v[j] for v in found.values()], pa.float64()) for j in range(3)]
+                    for held in asked:
+                        index, copies = held.value
+                        found = index.matches(part.column("text"))
+                        at = np.array(list(found), np.int64).reshape(-1, 2)
+                        told = np.array(list(found.values()), np.float64).reshape(-1, 3)
+                        at, told = np.repeat(at, copies[at[:, 1]], axis=0), np.repeat(told, copies[at[:, 1]], axis=0)
+                        columns = [part.column("doc_id").take(pa.array(at[:, 0])), index.ids.take(pa.array(at[:, 1]))]
+                        columns += [pa.array(told[:, j]) for j in range(3)]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question", "answer"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question double, answer double")
@@ -217,7 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
                 for part in tokens.slices(batch, "text"):
                     keep = np.ones(part.num_rows, bool)
                     for index in asked:
-                        keep[[t for t, _ in index.value.matches(part.column("text"))]] = False
+                        keep[[t for t, _ in index.value[0].matches(part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

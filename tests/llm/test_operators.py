@@ -538,6 +538,24 @@ def test_values_of_one_long_word(spark):
     assert [(r.value, r.named, r.assigned, r.before) for r in got if r.doc_id == 2] == [("Zx9-Zx9-Zx9-Zx9-Zx9", False, False, "a" * 64)]
 
 
+def test_hot_ids_and_items(spark):
+    """Rows of one id teach their language, items of one text fill several indexes, texts of one id fall in several blocks."""
+    words = {"x": ("hola", "casa", "perro", "verde", "mesa"), "y": ("house", "which", "thing", "with", "walk")}
+    rows = [(None if lang == "y" else i, " ".join(own[(i * k + k) % 5] + str(i % 17) * (k == 3) for k in range(1, 9)), lang) for lang, own in words.items() for i in range(400)]
+    docs = spark.createDataFrame([*rows, *[(7, "the same text in all of these", "y")] * 900], "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_lang=40)
+    assert model.langs == ["x", "y"]
+    out = langid.predict(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) > 0.98 * len(out)
+
+    text = "which of these walls was painted green before the war ended?\nthe one by the old mill"
+    items = spark.createDataFrame([*[(i, text) for i in range(60)], *[(99, text)] * 3], "item_id long, text string")
+    sizes = [len(b.value[1]) for b in decontam.indexes(items, 10)]
+    assert sum(sizes) == 61 and max(sizes) < 30 and len(sizes) == 7
+    found = decontam.contaminated(spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string"), items, 10).collect()
+    assert sorted(r.item_id for r in found) == sorted([*range(60), 99, 99, 99]) and {r.doc_id for r in found} == {1}
+
+
 # 7: URL filters
 
 
