@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import tokens
 
 GRAMS, DIM = 3, 1 << 14
-#: The model is fitted on at most PER_LANG texts of a language and TRAIN in all, those of its distinct texts (lower-cased) with the smallest hashes.
+#: The model is fitted on at most PER_LANG texts of a language and TRAIN in all, those with the smallest hashes of ids, or of texts without an id.
 PER_LANG, TRAIN, LANDMARKS, RIDGE = 500, 6_000, 400, 1.0
 UNKNOWN = "und"
 
@@ -71,17 +71,19 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, total: int = TRAIN) -> Classifier | None:
     """Learns from the distinct texts of (doc_id, text, lang) that are not held out; None where there is nothing to learn from."""
     labelled = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("doc_id")))
-    labelled = labelled.select("lang", F.lower("text").alias("text")).withColumn("h", F.xxhash64("text", F.lit(12)))
+    # drawn by id, and rows without one by text
+    draw = lambda seed: F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("text", F.lit(seed)))
+    labelled = labelled.select("lang", F.lower("text").alias("text"), draw(11).alias("drawn"), draw(12).alias("h"), F.xxhash64("text").alias("key"))
     # fractions for the most frequent languages; with more than `total` of them the rest have too few texts to fit
-    counts = labelled.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total).collect()
+    counts = labelled.select("lang", "h", "key").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total).collect()
     each = max(1, min(per_lang, total // max(1, len(counts))))
     if not counts:
         return None
     wanted = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * each / r["count"] + 1e-9)) for r in counts], "lang string, share double")
-    drawn = labelled.join(F.broadcast(wanted), "lang").where(F.pmod(F.xxhash64("h", F.lit(11)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    # some 1.3 times ``each`` distinct texts of a language are left, of which those with the smallest hashes go on
-    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    drawn = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= each)
+    drawn = labelled.join(F.broadcast(wanted), "lang").where(F.pmod("drawn", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    # some 1.3 times ``each`` distinct texts of a language are left where ids differ, of which those with the smallest hashes go on
+    drawn = drawn.groupBy("lang", "h", "key").agg(F.min("text").alias("text"))
+    drawn = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "key"))).where(F.col("nth") <= each)
 
     def flags(batches):
         for batch in batches:
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, total: int = TRAIN) -> Classi
                 bits = np.packbits(presence(part.column("text")), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "h", "bits"])
 
-    table = drawn.select("lang", "h", "text").mapInArrow(flags, "lang string, h long, bits binary").toPandas().sort_values(["lang", "h"])  # ``total`` rows at most
+    table = drawn.select("lang", "h", "text").mapInArrow(flags, "lang string, h long, bits binary").toPandas().sort_values(["lang", "h", "bits"])  # ``total`` rows at most
     if table.empty:
         return None
     flat = np.unpackbits(np.frombuffer(b"".join(table["bits"]), np.uint8)).reshape(len(table), DIM)
@@ -131,7 +133,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Null text or a text without a letter, and all texts where nothing can be learned: ``und``, 0. Null lang: predicted
     all the same, not learned from. Null doc_id: not held out, learned from like others. Ties: the language that
-    is first by code point. Repeated rows come out alike, and copies of a text are learned from once. An empty table gives no rows. Other columns are not read.
+    is first by code point. Repeated rows come out alike, and copies under one id are learned from once; rows of one id are drawn together. An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select("doc_id", "text", "lang")
     out = predict(docs.select("doc_id", "text"), fit(docs))
