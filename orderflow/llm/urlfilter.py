@@ -13,7 +13,7 @@ from .common import Scratch
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Rank is counted in whole units, so that sums are exact in any order; 85 times MASS fits a long. DAMPING in percent.
 MASS, DAMPING = 10**17, 85
-#: Rounds end when no host's rank has grown by more than one part of TOLERANCE (what is left to come is then some 0.6 % of it); that is looked at every LEAP rounds.
+#: Rounds end when no host's rank has grown by more than one part of TOLERANCE; that is looked at every LEAP rounds.
 TOLERANCE, LEAP = 1_000, 4
 #: Second labels below which a country registers names: co.uk and the like are no owner's domain.
 REGISTRIES = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
