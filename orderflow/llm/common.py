@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +15,8 @@ from ..functions.cut import shared_folder
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
+#: Nodes are not paired under a key if one of so many keys before it is common as well.
+BEFORE = 4
 
 
 class Scratch:
@@ -98,20 +101,34 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(out, "roots")
 
 
+def pairs_across(rows: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b), a below b: nodes of different roots that share a key and are close.
+
+    ``rows``: key and a struct ``one`` of root, node, before0, before1, ... and what ``close`` needs. A pair comes under
+    the first key that both hold, and not again where one of the BEFORE keys before it is common too.
+    """
+    l, r = F.col("l"), F.col("r")
+    earlier = (F.coalesce(l[f"before{i}"] == r[f"before{j}"], F.lit(False)) for i in range(BEFORE) for j in range(BEFORE))
+    apart = (l["node"] < r["node"]) & (l["root"] != r["root"]) & close(l, r) & ~reduce(Column.__or__, earlier)
+    both = rows.withColumnRenamed("one", "l").join(rows.withColumnRenamed("one", "r"), "key").where(apart)
+    return both.select(l["node"].alias("a"), r["node"].alias("b"))
+
+
 def linked_groups(
     posts: DataFrame, facts: DataFrame, details: DataFrame | None, rank: Column, near: Callable[[Column, Column], Column], close: Callable[[Column, Column], Column],
-    verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch, once: Callable[[Column, Column, Column], Column] | None = None
+    verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch
 ) -> DataFrame:
     """(node, root) over all true links between nodes that share a key, without forming all pairs of a key's nodes.
 
     ``posts``: key, node, place, hot; hot is false only for keys of short lists. ``facts``: node and what
     ``rank`` and ``near`` need beside place; ``details``: node and what else ``close`` needs, if anything. ``near(l, r)`` and ``close(l, r)`` must be true for a pair that
-    links under one of its keys at least; ``once(l, r, key)`` may be true for one of these only. ``verify`` takes distinct
+    links under the first of its keys, by place; all nodes hold their keys in one order. ``verify`` takes distinct
     pairs (a, b), and scratch room, and returns those that are links.
 
     Each node is first paired with the first node of its key by rank, and what links is contracted. Then every close
-    pair of nodes that share a key and are still in different groups is verified. A pair that is never formed joins
-    nodes that are connected already or cannot link, so the groups are those of all links.
+    pair of nodes that share a key and are still in different groups is verified. It is formed under the first key that
+    both hold, and not again where one of the BEFORE keys before it is common too: nearly once, not once for each key.
+    A pair that is never formed joins nodes that are connected already or cannot link, so the groups are those of all links.
     """
     room, node = Scratch(scratch.spark, "links"), F.col("one.node")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -130,17 +147,15 @@ def linked_groups(
 
     rooted = ranked.select("key", "one", node.alias("node")).join(roots, "node", "left").select("key", "node", "one", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = room.write(rooted.join(several, "key"), "mixed")
-    fields = [F.col("root"), *(F.col("one")[c].alias(c) for c in ranked.schema["one"].dataType.names)]
+    order = W.partitionBy("node").orderBy("one.place", "key")
+    before = [F.lag("key", i + 1).over(order).alias(f"before{i}") for i in range(BEFORE)]
+    mixed = room.write(rooted.join(several, "key").select("*", *before), "mixed")
+    fields = [F.col("root"), *(F.col(f"before{i}") for i in range(BEFORE)), *(F.col("one")[c].alias(c) for c in ranked.schema["one"].dataType.names)]
     if details is not None:
         more = details.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
         mixed = mixed.join(room.write(more, "details"), "node")
         fields += [F.col(c) for c in details.columns if c != "node"]
-    side = lambda x: mixed.select("key", F.struct(*fields).alias(x))
-    left, right = F.col("l"), F.col("r")
-    apart = (left["node"] < right["node"]) & (left["root"] != right["root"]) & close(left, right)
-    apart = apart & once(left, right, F.col("key")) if once else apart
-    across = side("l").join(side("r"), "key").where(apart).select(*pair(left["node"], right["node"])).distinct()
+    across = pairs_across(mixed.select("key", F.struct(*fields).alias("one")), close).distinct()
     rest = room.write(verify(across.join(star, ["a", "b"], "left_anti"), room), "links")
     roots = scratch.write(roots if rest.isEmpty() else components(links.unionByName(rest), room), "roots")
     room.drop()
