@@ -23,6 +23,8 @@ from .common import Scratch, linked_groups
 WORDS, PERCENT = 4, 85
 #: A list counts as long from LONG documents; at most HOT_LISTS are told to all tasks (8 bytes each), the longest ones.
 LONG, HOT_LISTS = 12, 1 << 20
+#: A task counts so many list entries at a time (8 bytes each, held some four times over), so that workers stay small beside a full heap.
+COUNTED = 1_000_000
 #: Up to so many ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -70,7 +72,7 @@ def _list_lengths(k: int, percent: int):
                     if len(s):
                         held.append(s[: _short(len(s), percent)])
                         size += len(held[-1])
-                if size > 4_000_000:
+                if size > COUNTED:
                     yield from out()
                     held, size = [], 0
         if held:
