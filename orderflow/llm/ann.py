@@ -20,8 +20,9 @@ TREES, SAMPLE = 2, 20_000
 #: one at which PROBES of the sample find RECALL of their neighbours in the sample: vectors in clusters need a small one,
 #: vectors without need most of the table. A share of as many as there are trees searches everything.
 RECALL, PROBES = 0.96, 200
-#: A task compares at most so many rows with at most so many queries at a time; larger leaves are dealt out in blocks.
-ROWS, QUERIES = 16_000, 4_000
+#: Rows are dealt by id into SHELVES shelves, queries into blocks of some QUERIES. A task streams a shelf's rows past a
+#: block of queries, ROWS of them at a time, and keeps the best only: what it puts out follows the queries, not the rows.
+SHELVES, ROWS, QUERIES = 8, 4_000, 4_000
 NEIGHBOURS = 20
 
 
@@ -96,20 +97,43 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _rank(queries: pd.DataFrame, rows: pd.DataFrame, k: int):
-    """The k best of ``rows`` for each query: by matrix product first, then exactly, ties to the smaller id."""
-    q, x, ids = _matrix(queries["vec"]), _matrix(rows["vec"]), rows["id"].to_numpy()
-    for start in range(0, len(q), 256):
-        part = q[start : start + 256]
-        scores = part @ x.T
-        for i, own in enumerate(queries["query_id"].to_numpy()[start : start + 256]):
-            s = scores[i]
-            s[ids == own] = -np.inf
-            least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-            near = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least) if np.isfinite(least) else 1.0)) & (s > -np.inf))
-            exact = np.cumsum(x[near] * part[i], axis=1)[:, -1]
-            order = np.lexsort((ids[near], -exact))[:k]
-            yield own, ids[near][order], exact[order]
+class Block:
+    """A block of queries and the best that each has met so far."""
+
+    def __init__(self, queries: pd.DataFrame, leaves: int, k: int):
+        queries = queries.iloc[np.argsort([f[0] if len(f) else -1 for f in queries["leaves"]], kind="stable")]
+        self.ids, self.x, self.k = queries["id"].to_numpy(), _matrix(queries["vec"]), k
+        self.wanted = np.zeros((len(queries), leaves), bool)
+        for wanted, found in zip(self.wanted, queries["leaves"]):
+            wanted[np.asarray(found, int)] = True
+        self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+
+    def meet(self, rows: pd.DataFrame) -> None:
+        """By matrix product first, then exactly, ties to the smaller id. A query meets the rows that share a leaf with it."""
+        x, ids, leaves = _matrix(rows["vec"]), rows["id"].to_numpy(), np.stack(rows["leaves"].to_numpy())
+        for start in range(0, len(self.ids), 256):
+            wanted = self.wanted[start : start + 256]
+            shared = np.logical_or.reduce([wanted[:, leaf] for leaf in leaves.T])
+            shared &= ids != self.ids[start : start + 256, None]
+            some = np.flatnonzero(shared.any(axis=0))
+            if len(some) == 0:
+                continue
+            scores = np.where(shared[:, some], self.x[start : start + 256] @ x[some].T, -np.inf)
+            least = np.partition(scores, len(some) - self.k, axis=1)[:, len(some) - self.k] if len(some) > self.k else np.full(len(scores), -np.inf)
+            for i, s in enumerate(scores):
+                known, old = self.best[start + i]
+                floor = max(least[i], old[-1] if len(old) == self.k else -np.inf)
+                near = some[(s >= floor - 1e-9 * max(1.0, abs(floor) if np.isfinite(floor) else 1.0)) & (s > -np.inf)]
+                if len(near):
+                    exact = np.concatenate([old, np.cumsum(x[near] * self.x[start + i], axis=1)[:, -1]])
+                    both = np.concatenate([known, ids[near]])
+                    order = np.lexsort((both, -exact))[: self.k]
+                    self.best[start + i] = both[order], exact[order]
+
+    def table(self) -> pd.DataFrame:
+        n = [len(ids) for ids, _ in self.best]
+        ids, scores = (np.concatenate(c) for c in zip(*self.best))
+        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "vec_id": ids, "score": scores})
 
 
 def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIGHBOURS, share: float | None = None, trees: int = TREES) -> DataFrame:
@@ -122,7 +146,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIG
     Null ids and vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of
     another length than the most frequent one (of equally frequent ones the longest). Repeated ids: each row is a
     candidate once for each different vector; for a query the vector that sorts first counts. An empty table gives no
-    rows. Other columns are not read. Equal vectors fall in one leaf, and large leaves are dealt out in blocks.
+    rows. Other columns are not read. Equal vectors fall in one leaf; rows are dealt to tasks by id, so that no leaf is one task.
     """
     v = F.col("embedding")
     sound = v.isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.exists(v, lambda x: x != 0)
@@ -147,40 +171,47 @@ def nearest(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = NEIG
         for pdf in batches:
             if len(pdf):
                 leaves = forest.leaves(place(_matrix(pdf["vec"]), norm))
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), trees), "vec": np.repeat(pdf["vec"].to_numpy(), trees), "leaf": leaves.ravel()})
+                yield pdf.assign(leaves=list(leaves))
 
     kind = clean.schema["vec"].dataType.simpleString()
-    indexed = scratch.write(clean.dropDuplicates(["id", "vec"]).mapInPandas(index, f"id long, vec {kind}, leaf long"), "index")
-    held = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # one row for each leaf of the forest
+    indexed = scratch.write(clean.dropDuplicates(["id", "vec"]).mapInPandas(index, f"id long, vec {kind}, leaves array<long>"), "index")
+    held = {r["leaf"]: r["count"] for r in indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}  # one row for each leaf of the forest
     rows = np.array([held.get(i, 0) for i in range(trees * 2**depth)])
     enough = share * rows.sum() / trees
 
     def probe(batches):
         for pdf in batches:
-            found = [forest.search(x, rows, enough) for x in aim(_matrix(pdf["vec"]), norm)] if len(pdf) else []
-            n = [len(f) for f in found]
-            yield pd.DataFrame({"query_id": np.repeat(pdf["id"].to_numpy(), n), "vec": np.repeat(pdf["vec"].to_numpy(), n), "leaf": np.concatenate(found) if sum(n) else np.zeros(0, int)})
+            yield pdf.assign(leaves=[forest.search(x, rows, enough) for x in aim(_matrix(pdf["vec"]), norm)] if len(pdf) else [])
 
     asked = clean.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
-    probes = scratch.write(asked.mapInPandas(probe, f"query_id long, vec {kind}, leaf long"), "probes")
-
-    sizes = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).join(probes.groupBy("leaf").agg(F.count(F.lit(1)).alias("q")), "leaf")
-    sizes = sizes.select("leaf", F.ceil(F.col("n") / ROWS).cast("long").alias("n"), F.ceil(F.col("q") / QUERIES).cast("long").alias("q"))
+    probes = scratch.write(asked.mapInPandas(probe, f"id long, vec {kind}, leaves array<long>"), "probes")
+    blocks = max(1, -(-probes.count() // QUERIES))
 
-    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        """Each row goes to its block of its own side, and to every block of the other side."""
-        mine = F.pmod(F.xxhash64(key), F.col(own)).alias(f"{own}_block")
-        return df.join(F.broadcast(sizes), "leaf").select(key, "vec", "leaf", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"{other}_block"))
+    def every_one(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    keys = ["leaf", "n_block", "q_block"]
+    asking = probes.select(every_one(SHELVES).alias("shelf"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vec", "leaves")
+    asked_of = indexed.select(F.pmod(F.xxhash64("id"), F.lit(SHELVES)).cast("int").alias("shelf"), every_one(blocks).alias("block"), F.lit(1).alias("kind"), "id", "vec", "leaves")
+    dealt = asking.unionByName(asked_of).repartition("shelf", "block").sortWithinPartitions("shelf", "block", "kind", F.col("leaves")[0])
 
-    def compare(key, left, right):
-        out = [(np.full(len(ids), q), ids, s) for q, ids, s in _rank(left, right, k)] if len(left) and len(right) else []
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-    q, n = dealt(probes, "query_id", "q", "n"), dealt(indexed, "id", "n", "q")
-    found = q.groupBy(*keys).cogroup(n.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double").distinct()
+    def compare(batches):
+        at, queries, block = None, [], None
+        for pdf in batches:
+            for (*key, kind), part in pdf.groupby(["shelf", "block", "kind"]):
+                if key != at:
+                    if block:
+                        yield block.table()
+                    at, queries, block = key, [], None
+                if kind == 0:  # a block's queries come before its rows
+                    queries.append(part)
+                    continue
+                block = block or (Block(pd.concat(queries), len(rows), k) if queries else None)
+                for i in range(0, len(part) if block else 0, ROWS):
+                    block.meet(part.iloc[i : i + ROWS])
+        if block:
+            yield block.table()
+
+    found = dealt.mapInPandas(compare, "query_id long, vec_id long, score double").distinct()
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", best.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
