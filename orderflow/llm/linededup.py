@@ -17,6 +17,8 @@ BLOCKS, BITS, WORDS = 7, 32, 3
 VOTING = 4
 #: Lines of fewer words, or of longer ones on average, are read as runs of three letters, GRAMS or so to a class.
 FEW, LONG_WORD, GRAMS = 8, 20, 2
+#: Lines of so many more words, of words nearly as long, or with few words that vote are read in both ways.
+EDGE, LONG_EDGE, FEW_VOTES = 3, 15, 4
 #: A block counts if its words have so many letters together (a word counts 8 at most; runs: 8), or if it is the whole line.
 LETTERS, GRAM_LETTERS = 12, 12
 #: Of the sketch bits of the blocks beside the shared one, SimHashes of lines that link differ in this share at most, and MORE.
@@ -54,7 +56,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     that each holds some WORDS words. A changed word thus touches two blocks at most and leaves the others as they are,
     and by the pigeonhole principle lines that differ in a few words agree in whole blocks. Each of the first BLOCKS
     classes gives a key, of its bits, its number of words and their letters. A line just above the number of words where
-    k changes gives those of the smaller k as well (down = 1). ``sketch`` holds the first 16 bits of each block,
+    k changes gives those of the smaller k as well, and so does each that is read as runs, as many of their blocks are short of
+    letters; one near an edge between the two ways to read a line gives those of the
+    other way (down = 1), so that a word put in or left out there does not part two lines. ``sketch`` holds the first 16 bits of each block,
     long the length of the line's normal form.
 
     The votes of all classes on one bit are added at once, in lanes of a long, and each task adds up the lines that it
@@ -65,10 +69,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     bare = F.regexp_replace("line", NO_WORD, "")
     grams = F.when(F.length(bare) < 3, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit("(?s)(?=(...))"), F.lit(1)))
     runs = (F.size("words") < FEW) | (F.length("line") > (LONG_WORD + 1) * F.size("words"))
-    lines = lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("node"), F.xxhash64("line", F.lit(1)).alias("check"), F.length(normal(F.col("line"))).alias("long"), runs.alias("runs"), F.when(runs, grams).when(F.size("words") > OFTEN, F.array_distinct("words")).otherwise(F.col("words")).alias("words"))
+    edge = (F.size("words") < FEW + EDGE) | (F.length("line") > (LONG_EDGE + 1) * F.size("words")) | (F.size(F.filter("words", lambda w: F.length(w) >= VOTING)) < FEW_VOTES)
+    forms = F.when(runs, F.array(F.lit(True))).when(edge, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    lines = lines.select("*", F.posexplode(forms).alias("other", "runs"))
+    runs = F.col("runs")
+    lines = lines.select("doc_id", "text_key", "line_no", "other", F.xxhash64("line").alias("node"), F.xxhash64("line", F.lit(1)).alias("check"), F.length(normal(F.col("line"))).alias("long"), "runs", F.when(runs, grams).when(F.size("words") > OFTEN, F.array_distinct("words")).otherwise(F.col("words")).alias("words"))
     lines = lines.withColumn("k", F.length(F.bin(F.floor(F.size("words") / F.when(F.col("runs"), GRAMS).otherwise(WORDS)))) - 1)
-    levels = F.when((F.col("k") > 0) & (10 * F.size("words") < 11 * F.when(F.col("runs"), GRAMS).otherwise(WORDS) * F.expr("shiftleft(1, k)")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    lines = lines.select("*", F.explode(levels).alias("down")).withColumn("k", F.col("k") - F.col("down"))
+    levels = F.when((F.col("k") > 0) & (F.col("runs") | (10 * F.size("words") < 11 * WORDS * F.expr("shiftleft(1, k)"))), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    lines = lines.select("*", F.explode(levels).alias("down")).withColumn("k", F.col("k") - F.col("down")).withColumn("down", F.greatest("down", "other"))
     key = ["doc_id", "text_key", "line_no", "node", "check", "down", "long", "k", "runs"]
     words = lines.select(*key, F.posexplode("words").alias("place", "word")).withColumn("word", F.btrim("word", F.lit(SIGNS)))
     words = words.select(*key, "place", F.length("word").alias("size"), F.xxhash64("word").alias("w"))
