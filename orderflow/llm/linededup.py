@@ -31,6 +31,12 @@ BROADCAST_ROWS = 1_000_000
 SINGLE_LETTERS = 0xD800
 #: Words to a piece, where long lines are compared by pieces.
 PIECE = 32
+#: Bounds from above are tried for pairs that share so many tenths of their words.
+ALIKE = 7
+#: Lines of a key that more lines share are first paired within crowds of about so many, in so many rounds at most.
+CROWD, ROUNDS = 16, 3
+#: A round of which one pair in so many or fewer links is the last one.
+FEW_LINKS = 50
 #: Votes of the classes are added in lanes of 8 bits.
 ONES, SEVENS = 0x0001_0101_0101_0101, 0x007F_7F7F_7F7F_7F7F
 #: A word votes without these at its ends.
@@ -65,7 +71,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     has read before anything is shuffled.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    lines = lines.select("doc_id", "text_key", "line_no", F.trim("line").alias("line")).withColumn("words", F.split("line", " "))
+    lines = lines.select("doc_id", "text_key", "line_no", F.trim("line").alias("line")).withColumns({"words": F.split("line", " "), "long": F.length(normal(F.col("line")))})
     bare = F.regexp_replace("line", NO_WORD, "")
     grams = F.when(F.length(bare) < 3, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit("(?s)(?=(...))"), F.lit(1)))
     runs = (F.size("words") < FEW) | (F.length("line") > (LONG_WORD + 1) * F.size("words"))
@@ -73,7 +79,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     forms = F.when(runs, F.array(F.lit(True))).when(edge, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     lines = lines.select("*", F.posexplode(forms).alias("other", "runs"))
     runs = F.col("runs")
-    lines = lines.select("doc_id", "text_key", "line_no", "other", F.xxhash64("line").alias("node"), F.xxhash64("line", F.lit(1)).alias("check"), F.length(normal(F.col("line"))).alias("long"), "runs", F.when(runs, grams).when(F.size("words") > OFTEN, F.array_distinct("words")).otherwise(F.col("words")).alias("words"))
+    lines = lines.select("doc_id", "text_key", "line_no", "other", F.xxhash64("line").alias("node"), F.xxhash64("line", F.lit(1)).alias("check"), "long", "runs", F.when(runs, grams).when(F.size("words") > OFTEN, F.array_distinct("words")).otherwise(F.col("words")).alias("words"))
     lines = lines.withColumn("k", F.length(F.bin(F.floor(F.size("words") / F.when(F.col("runs"), GRAMS).otherwise(WORDS)))) - 1)
     levels = F.when((F.col("k") > 0) & (F.col("runs") | (10 * F.size("words") < 11 * WORDS * F.expr("shiftleft(1, k)"))), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     lines = lines.select("*", F.explode(levels).alias("down")).withColumn("k", F.col("k") - F.col("down")).withColumn("down", F.greatest("down", "other"))
@@ -157,7 +163,10 @@ def similar(a: Column, b: Column) -> Column:
         x, y = s["x"], s["y"]
         in_place = F.when(F.size(x) == F.size(y), total(F.zip_with(x, y, lambda v, w: distance(v, w))) <= allowed).otherwise(False)
         cheap = in_place | ((F.size(x) > PIECE) & (F.size(y) > PIECE) & in_pieces(x, y)) | ((F.size(x) > 1) & (F.size(y) > 1) & by_words(x, y))
-        return cheap | (distance(whole(x), whole(y), allowed) >= 0)
+        # the bounds are for pairs that probably link: others, and short ones, are compared at once
+        fewer = F.least(F.size(F.array_distinct(x)), F.size(F.array_distinct(y)))
+        alike = (F.least(F.size(x), F.size(y)) > PIECE) & (10 * F.size(F.array_intersect(x, y)) >= ALIKE * fewer)
+        return F.when(alike, cheap).otherwise(False) | (distance(whole(x), whole(y), allowed) >= 0)
 
     def trimmed(s: Column) -> Column:
         x, y = s["x"], s["y"]
@@ -179,10 +188,12 @@ def near(x: Column, y: Column, k: Column) -> Column:
 def linked_lines(spots: DataFrame, verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch) -> DataFrame:
     """(node, root) of all lines that share a key and link, without forming all pairs of a key's lines.
 
-    Each line is first paired with one line of its key, the one with the least hash, and what links is contracted. Then
-    all lines that share a key and are still in different groups are paired. A pair that is never formed joins lines
-    that are connected already, so the groups are those of all links. Sketches travel with the keys, and only pairs with
-    near ones are verified.
+    Each line is first paired with one line of its key, the one with the least hash, and what links is contracted. Lines
+    of keys that many share are then dealt into crowds by a hash, another one in each round, and paired within them as far
+    as they are in different groups; what links is contracted before the next round. A dense group thus ends as one
+    after a few pairs for each of its lines. Last, all lines that share a key and are still in different groups are paired,
+    but for pairs that were. A pair that is never formed joins lines that are connected already, so the groups are
+    those of all links. Sketches travel with the keys, and only pairs with near ones are verified.
     """
     room, one = Scratch(scratch.spark, "links"), F.struct("node", "long", "sketch")
     posts = spots.select(one.alias("one"), "k", F.explode("keys").alias("key"))
@@ -190,17 +201,33 @@ def linked_lines(spots: DataFrame, verify: Callable[[DataFrame, Scratch], DataFr
     wanted = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     shared = room.write(posts.join(wanted, "key").select("key", "k", "one", "first").distinct(), "shared")
     star = shared.where((F.col("one.node") != F.col("first.node")) & near(F.col("one"), F.col("first"), F.col("k")))
-    star = room.write(star.select(F.col("first.node").alias("a"), F.col("one.node").alias("b")).distinct(), "star")
-    links = room.write(verify(star, room), "star-links")
+    tried = room.write(star.select(F.col("first.node").alias("a"), F.col("one.node").alias("b")).distinct(), "star")
+    links = room.write(verify(tried, room), "star-links")
     roots = components(links, room)
 
-    rooted = room.write(shared.withColumn("node", F.col("one.node")).join(roots, "node", "left").select("key", "k", "one", F.coalesce("root", "node").alias("root")), "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = room.write(rooted.join(several, "key"), "mixed")
-    left, right = mixed.select("key", "k", F.col("one").alias("a"), F.col("root").alias("a_root")), mixed.select("key", F.col("one").alias("b"), F.col("root").alias("b_root"))
-    across = left.join(right, "key").where((F.col("a.node") < F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & near(F.col("a"), F.col("b"), F.col("k"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    across = across.distinct().join(star, ["a", "b"], "left_anti")
-    rest = room.write(verify(room.write(across, "across"), room), "links")
+    def across(rows: DataFrame, *by: str) -> DataFrame:
+        """(a, b): near lines of different groups that agree in ``by``, but for pairs that were tried."""
+        left, right = rows.select(*by, "k", F.col("one").alias("a"), F.col("root").alias("a_root")), rows.select(*by, F.col("one").alias("b"), F.col("root").alias("b_root"))
+        pairs = left.join(right, [*by]).where((F.col("a.node") < F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & near(F.col("a"), F.col("b"), F.col("k")))
+        return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    few = False
+    for turn in range(ROUNDS + 1):
+        rooted = shared.withColumn("node", F.col("one.node")).join(roots, "node", "left").select("key", "k", "one", F.coalesce("root", "node").alias("root"))
+        rooted = room.write(rooted, "rooted")
+        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+        mixed = room.write(rooted.join(several, "key"), "mixed")
+        crowded = mixed.where(F.col("n") > CROWD)
+        if turn == ROUNDS or few or crowded.isEmpty():
+            break
+        crowd = F.pmod(F.xxhash64("one.node", "key", F.lit(turn)), F.ceil(F.col("n") / CROWD))
+        pairs = room.write(across(crowded.withColumn("crowd", crowd), "key", "crowd"), "crowds")
+        found = room.write(verify(pairs, room), "links")
+        tried = tried.unionByName(pairs)
+        few = pairs.count() >= FEW_LINKS * found.count()
+        links = links.unionByName(found)
+        roots = components(links, room)
+    rest = room.write(verify(room.write(across(mixed, "key"), "across"), room), "links")
     roots = scratch.write(roots if rest.isEmpty() else components(links.unionByName(rest), room), "roots")
     room.drop()
     return roots
