@@ -33,8 +33,8 @@ SINGLE_LETTERS = 0xD800
 PIECE = 32
 #: Bounds from above are tried for pairs that share so many tenths of their words.
 ALIKE = 7
-#: Lines of a key that more lines share are first paired within crowds of about so many, in so many rounds at most.
-CROWD, ROUNDS = 16, 3
+#: Lines of a key that more than CROWDED lines share are first paired within crowds of about CROWD, in so many rounds at most.
+CROWDED, CROWD, ROUNDS = 128, 16, 2
 #: A round of which one pair in so many or fewer links is the last one.
 FEW_LINKS = 50
 #: Votes of the classes are added in lanes of 8 bits.
@@ -217,7 +217,7 @@ def linked_lines(spots: DataFrame, verify: Callable[[DataFrame, Scratch], DataFr
         rooted = room.write(rooted, "rooted")
         several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
         mixed = room.write(rooted.join(several, "key"), "mixed")
-        crowded = mixed.where(F.col("n") > CROWD)
+        crowded = mixed.where(F.col("n") > CROWDED)
         if turn == ROUNDS or few or crowded.isEmpty():
             break
         crowd = F.pmod(F.xxhash64("one.node", "key", F.lit(turn)), F.ceil(F.col("n") / CROWD))
