@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ DIFFER, MORE = 0.25, 3
 OFTEN = 4_096
 #: Up to so many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Up to so many texts with the lines that are asked of them are broadcast.
+BROADCAST_TEXTS = 250_000
 #: So many code points lie below the first that stands for no letter of its own.
 SINGLE_LETTERS = 0xD800
 #: Words to a piece, where long lines are compared by pieces.
@@ -35,14 +38,16 @@ PIECE = 32
 ALIKE = 7
 #: Lines of a key that more than CROWDED lines share are first paired within crowds of about CROWD, in so many rounds at most.
 CROWDED, CROWD, ROUNDS = 128, 16, 2
+#: A round of fewer pairs is left to the last step, which forms them too.
+FEW_PAIRS = 1_000
 #: A round of which one pair in so many or fewer links is the last one.
 FEW_LINKS = 50
-#: Votes of the classes are added in lanes of 8 bits.
-ONES, SEVENS = 0x0001_0101_0101_0101, 0x007F_7F7F_7F7F_7F7F
-#: A word votes without these at its ends.
+#: Votes on two bits are added at once, in lanes of 16 bits.
+LANES = 0x0001_0001
+#: Signs that stand at words' ends in lines that are no normal form yet.
 SIGNS = """.,;:!?|*#%&$=+~<>/()[]{}"'_-"""
 #: All that is no letter, mark or digit; a run of it is one space in the normal form.
-NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{M}\p{N}]++"
 
 
 def normal(line: Column) -> Column:
@@ -57,7 +62,7 @@ def split_lines(text: Column) -> Column:
 def signatures(docs: DataFrame) -> DataFrame:
     """One row for each line with a letter or digit: doc_id, text_key, line_no, node, check, down, long, keys, k, sketch.
 
-    node and check are two hashes of the lower-cased, trimmed line. The SimHash of a line has a block for each class of
+    node and check are two hashes of the lower-cased, trimmed line; all else is read from its normal form. The SimHash of a line has a block for each class of
     its words: a word votes on the BITS bits of its own class alone, and the majority wins. There are 2^k classes, so
     that each holds some WORDS words. A changed word thus touches two blocks at most and leaves the others as they are,
     and by the pigeonhole principle lines that differ in a few words agree in whole blocks. Each of the first BLOCKS
@@ -67,51 +72,58 @@ def signatures(docs: DataFrame) -> DataFrame:
     other way (down = 1), so that a word put in or left out there does not part two lines. ``sketch`` holds the first 16 bits of each block,
     long the length of the line's normal form.
 
-    The votes of all classes on one bit are added at once, in lanes of a long, and each task adds up the lines that it
-    has read before anything is shuffled.
+    All of it happens within the line's row: no word leaves it, and nothing is added up over rows, so that a document that
+    stands in the table twice has the keys that it has once.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    lines = lines.select("doc_id", "text_key", "line_no", F.trim("line").alias("line")).withColumns({"words": F.split("line", " "), "long": F.length(normal(F.col("line")))})
-    bare = F.regexp_replace("line", NO_WORD, "")
+    lines = lines.select("doc_id", "text_key", "line_no", F.trim("line").alias("line"))
+    lines = lines.withColumn("norm", normal(F.col("line"))).withColumns({"words": F.split("norm", " "), "long": F.length("norm")})
+    bare = F.replace("norm", F.lit(" "), F.lit(""))
     grams = F.when(F.length(bare) < 3, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit("(?s)(?=(...))"), F.lit(1)))
-    runs = (F.size("words") < FEW) | (F.length("line") > (LONG_WORD + 1) * F.size("words"))
-    edge = (F.size("words") < FEW + EDGE) | (F.length("line") > (LONG_EDGE + 1) * F.size("words")) | (F.size(F.filter("words", lambda w: F.length(w) >= VOTING)) < FEW_VOTES)
+    runs = (F.size("words") < FEW) | (F.col("long") > (LONG_WORD + 1) * F.size("words"))
+    edge = (F.size("words") < FEW + EDGE) | (F.col("long") > (LONG_EDGE + 1) * F.size("words")) | (F.size(F.filter("words", lambda w: F.length(w) >= VOTING)) < FEW_VOTES)
     forms = F.when(runs, F.array(F.lit(True))).when(edge, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     lines = lines.select("*", F.posexplode(forms).alias("other", "runs"))
-    runs = F.col("runs")
+    runs, long = F.col("runs"), lambda v: F.lit(v).cast("long")
     lines = lines.select("doc_id", "text_key", "line_no", "other", F.xxhash64("line").alias("node"), F.xxhash64("line", F.lit(1)).alias("check"), "long", "runs", F.when(runs, grams).when(F.size("words") > OFTEN, F.array_distinct("words")).otherwise(F.col("words")).alias("words"))
-    lines = lines.withColumn("k", F.length(F.bin(F.floor(F.size("words") / F.when(F.col("runs"), GRAMS).otherwise(WORDS)))) - 1)
-    levels = F.when((F.col("k") > 0) & (F.col("runs") | (10 * F.size("words") < 11 * WORDS * F.expr("shiftleft(1, k)"))), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    lines = lines.select("*", F.explode(levels).alias("down")).withColumn("k", F.col("k") - F.col("down")).withColumn("down", F.greatest("down", "other"))
-    key = ["doc_id", "text_key", "line_no", "node", "check", "down", "long", "k", "runs"]
-    words = lines.select(*key, F.posexplode("words").alias("place", "word")).withColumn("word", F.btrim("word", F.lit(SIGNS)))
-    words = words.select(*key, "place", F.length("word").alias("size"), F.xxhash64("word").alias("w"))
-    words = words.withColumn("j", F.expr("cast(shiftrightunsigned(w, 40) & (shiftleft(1L, k) - 1) as int)"))
-    votes_here = (F.col("j") < BLOCKS) & (F.col("size") >= F.when(F.col("runs"), 1).otherwise(VOTING))
-    # the first word stays, with no vote where it has none, so that no line is lost
-    words = words.where(votes_here | (F.col("place") == 0))
-    words = words.withColumn("one", F.when(votes_here, F.expr("shiftleft(1L, 8 * j)")).otherwise(F.lit(0).cast("long")))
-    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(1).cast("long")) * F.col("one")).alias(f"v{i}") for i in range(BITS)]
-    sums = words.groupBy(*key).agg(F.sum("one").alias("n"), F.sum(F.least("size", F.lit(8)) * F.col("one")).alias("letters"), *votes)
-    return block_keys(sums)
-
-
-def block_keys(sums: DataFrame) -> DataFrame:
-    """The last step of ``signatures``: majorities and keys from lane sums v0, v1, ... of votes, n of words and letters."""
-    room = F.lit(SEVENS) - F.shiftrightunsigned("n", 1).bitwiseAND(F.lit(SEVENS))  # carries into bit 7 of lanes with more than half
-    packed = []
-    for q in range(0, BITS, 8):  # eight bits of each block, in its lane
-        bits = F.lit(0).cast("long")
-        for i in range(8):
-            bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"v{q + i}") + room, 7).bitwiseAND(F.lit(ONES)), i))
-        packed.append(bits.alias(f"b{q // 8}"))
-    lane = lambda c, j: F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255))
+    # a vote: the word's hash, with its letters (8 at most) in place of bits 32 to 39; 0 where the word has none
+    vote = lambda w: F.when(F.length(w) >= F.when(runs, 1).otherwise(VOTING), F.xxhash64(w).bitwiseAND(long(~(255 << 32))).bitwiseOR(F.shiftleft(F.least(F.length(w), F.lit(8)).cast("long"), 32))).otherwise(long(0))
+    lines = lines.withColumns({"votes": F.transform("words", vote), "k": F.length(F.bin(F.floor(F.size("words") / F.when(runs, GRAMS).otherwise(WORDS)))) - 1})
+    level = lambda less: F.struct((F.col("k") - less).alias("k"), F.greatest(F.lit(less), "other").alias("down"), F.expr(f"shiftleft(1L, k - {less}) - 1").alias("mask"))
+    both = (F.col("k") > 0) & (runs | (10 * F.size("votes") < 11 * WORDS * F.expr("shiftleft(1, k)")))
+    # exploded, so that the number of classes is known before votes are dealt, and not worked out for each of them
+    lines = lines.select("doc_id", "text_key", "line_no", "node", "check", "long", "runs", "votes", F.explode(F.when(both, F.array(level(0), level(1))).otherwise(F.array(level(0)))).alias("level"))
+    place = lambda v: F.shiftrightunsigned(v, 40).bitwiseAND(F.col("level.mask"))
+    of_class = lambda j: F.filter("votes", lambda v: place(v) == j)
+    lines = lines.withColumn("votes", F.filter("votes", lambda v: (v != 0) & (place(v) < BLOCKS)))
+    lines = lines.withColumns({f"c{j}": of_class(j) for j in range(BLOCKS)})
+    sizes = lambda j: F.aggregate(f"c{j}", long(0), lambda s, v: s + F.shiftrightunsigned(v, 32).bitwiseAND(long(255)))
+    lines = lines.withColumns({f"l{j}": sizes(j) for j in range(BLOCKS)} | {f"m{j}": majority(F.col(f"c{j}")) for j in range(BLOCKS)})
     keys = []
     for j in range(BLOCKS):
-        sound = (lane("n", j) > 0) & ((lane("letters", j) >= F.when(F.col("runs"), GRAM_LETTERS).otherwise(LETTERS)) | (F.col("k") == 0))
-        keys.append(F.when(sound, F.xxhash64(*(lane(f"b{q}", j) for q in range(BITS // 8)), lane("n", j), lane("letters", j), "k", F.lit(j), "runs")))
-    known = ["doc_id", "text_key", "line_no", "node", "check", "down", "long"]
-    return sums.select(*known, "k", "runs", "n", "letters", *packed).select(*known, F.array_compact(F.array(*keys)).alias("keys"), "k", F.array("b0", "b1").alias("sketch"))
+        n, letters = F.size(f"c{j}"), F.col(f"l{j}")
+        sound = (n > 0) & ((letters >= F.when(runs, GRAM_LETTERS).otherwise(LETTERS)) | (F.col("level.k") == 0))
+        keys.append(F.when(sound, F.xxhash64(f"m{j}", n, letters, "level.k", F.lit(j), "runs")))
+    half = lambda j: F.shiftleft(F.col(f"m{j}").bitwiseAND(long(0xFFFF)), 16 * (j % 4))
+    sketch = [reduce(Column.bitwiseOR, map(half, part)) for part in (range(4), range(4, BLOCKS))]
+    return lines.select("doc_id", "text_key", "line_no", "node", "check", "level.down", "long", F.array_compact(F.array(*keys)).alias("keys"), "level.k", F.array(*sketch).alias("sketch"))
+
+
+def majority(votes: Column) -> Column:
+    """The BITS lowest bits, each as more than half of the votes have it."""
+    n, (a, b, c, d) = F.size(votes), (F.get(votes, F.lit(i)) for i in range(4))
+    both, either = Column.bitwiseAND, Column.bitwiseOR
+    few = F.when(n == 0, F.lit(0).cast("long")).when(n == 1, a).when(n == 2, both(a, b)).when(n == 3, either(both(a, b), both(c, either(a, b))))
+    few = few.when(n == 4, either(both(both(a, b), either(c, d)), both(both(c, d), either(a, b))))
+    ones, zero = F.lit(LANES).cast("long"), F.lit(0).cast("long")
+    room = (F.lit(0x7FFF) - F.shiftright(n, 1)) * ones  # carries into bit 15 of lanes with more than half
+
+    def two_bits(known: Column, q: Column) -> Column:
+        shifted = lambda v, i: F.call_function("shiftrightunsigned", v, i)
+        more = F.shiftrightunsigned(F.aggregate(votes, room, lambda s, v: s + both(shifted(v, q), ones)), 15)
+        return either(known, F.call_function("shiftleft", both(more, ones), q))
+
+    return both(few.otherwise(F.aggregate(F.array(*map(F.lit, range(16))), zero, two_bits)), F.lit((1 << BITS) - 1).cast("long"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -197,10 +209,12 @@ def linked_lines(spots: DataFrame, verify: Callable[[DataFrame, Scratch], DataFr
     """
     room, one = Scratch(scratch.spark, "links"), F.struct("node", "long", "sketch")
     posts = spots.select(one.alias("one"), "k", F.explode("keys").alias("key"))
-    several = room.write(posts.groupBy("key").agg(F.min("one").alias("first"), F.max("one.node").alias("last")).where("first.node < last").select("key", "first"), "several")
+    # the keys alone go to the driver and all tasks, not the lines that stand first under them
+    ends = posts.groupBy("key").agg(F.min("one.node").alias("lo"), F.max("one.node").alias("hi"))
+    several = room.write(ends.where("lo < hi").select("key"), "several")
     wanted = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    shared = room.write(posts.join(wanted, "key").select("key", "k", "one", "first").distinct(), "shared")
-    star = shared.where((F.col("one.node") != F.col("first.node")) & near(F.col("one"), F.col("first"), F.col("k")))
+    shared = room.write(posts.join(wanted, "key", "left_semi").select("key", "k", "one").distinct(), "shared")
+    star = shared.join(shared.groupBy("key").agg(F.min("one").alias("first")), "key").where((F.col("one.node") != F.col("first.node")) & near(F.col("one"), F.col("first"), F.col("k")))
     tried = room.write(star.select(F.col("first.node").alias("a"), F.col("one.node").alias("b")).distinct(), "star")
     links = room.write(verify(tried, room), "star-links")
     roots = components(links, room)
@@ -222,6 +236,8 @@ def linked_lines(spots: DataFrame, verify: Callable[[DataFrame, Scratch], DataFr
             break
         crowd = F.pmod(F.xxhash64("one.node", "key", F.lit(turn)), F.ceil(F.col("n") / CROWD))
         pairs = room.write(across(crowded.withColumn("crowd", crowd), "key", "crowd"), "crowds")
+        if pairs.count() < FEW_PAIRS:
+            break
         found = room.write(verify(pairs, room), "links")
         tried = tried.unionByName(pairs)
         few = pairs.count() >= FEW_LINKS * found.count()
@@ -241,11 +257,13 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def verify(pairs: DataFrame, room: Scratch) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        firsts = spots.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(place).alias("at"))
-        firsts = room.write(firsts.select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"), F.col("at.line_no").alias("line_no")), "firsts")
-        wanted = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-        found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-        texts = found.select("node", normal(F.get(split_lines(F.col("text")), F.col("line_no"))).alias("norm")).dropDuplicates(["node"])
+        firsts = spots.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "line_no")).alias("at"))
+        firsts = room.write(firsts.groupBy("at.text_key").agg(F.collect_list(F.struct("at.line_no", "node")).alias("wanted")), "firsts")
+        wanted = F.broadcast(firsts) if firsts.count() <= BROADCAST_TEXTS else firsts
+        found = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key")
+        lines = found.select(split_lines(F.col("text")).alias("lines"), "wanted")
+        found = lines.select(F.inline(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line_no"]).alias("line")))))
+        texts = found.dropDuplicates(["node"]).select("node", normal(F.col("line")).alias("norm"))
         texts = room.write(texts, "texts")
         for end in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("norm").alias(f"{end}_norm")), end)
