@@ -112,10 +112,12 @@ def timeline_by_nodes(history: DataFrame) -> DataFrame:
     split = held.withColumn("ends", F.expr(ends.format(k=top))).select("symbol_idx", "side", "best", F.explode(F.expr(f"filter({nodes}, n -> n.odd)")).alias("n"))
     best = split.groupBy("symbol_idx", "side", "n.k", "n.i").agg(F.min("best").alias("best"))
 
-    asked = history.select("symbol_idx", "seq").distinct()
-    points = asked.select("symbol_idx", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("back")).select("symbol_idx", "seq", "back", (F.col("seq") - F.col("back")).alias("t")).where("t >= 0")
-    points = points.select("symbol_idx", "seq", "back", F.explode(F.expr(f"transform(sequence(0, {top}), k -> struct(k, shiftright(t, k) AS i))")).alias("n")).select("symbol_idx", "seq", "back", "n.k", "n.i")
-    side = lambda back, s: F.min(F.when((F.col("back") == back) & (F.col("side") == s), F.col("best")))
-    found = points.join(best, ["symbol_idx", "k", "i"]).groupBy("symbol_idx", "seq").agg(side(0, "B").alias("bid"), side(0, "S").alias("ask"), side(1, "B").alias("was_bid"), side(1, "S").alias("was_ask"))
+    # a number and the one before it lie in the same node for most k, which is then asked for once
+    now = f"transform(sequence(0, {top}), k -> struct(k, shiftright(seq, k) AS i, true AS at, seq > 0 AND shiftright(seq, k) = shiftright(seq - 1, k) AS before))"
+    was = f"transform(filter(sequence(0, {top}), k -> seq > 0 AND shiftright(seq, k) <> shiftright(seq - 1, k)), k -> struct(k, shiftright(seq - 1, k) AS i, false AS at, true AS before))"
+    points = history.select("symbol_idx", "seq").distinct().select("symbol_idx", "seq", F.explode(F.expr(f"concat({now}, {was})")).alias("n")).select("symbol_idx", "seq", "n.*")
+    side = lambda asks, s: F.min(F.when(F.col(asks) & (F.col("side") == s), F.col("best")))
+    # nodes are many times the history that their size is estimated from, and must not be broadcast
+    found = points.join(best.hint("merge"), ["symbol_idx", "k", "i"]).groupBy("symbol_idx", "seq").agg(side("at", "B").alias("bid"), side("at", "S").alias("ask"), side("before", "B").alias("was_bid"), side("before", "S").alias("was_ask"))
     changed = found.where(~(F.col("bid").eqNullSafe(F.col("was_bid")) & F.col("ask").eqNullSafe(F.col("was_ask"))))
     return changed.select("seq", "symbol_idx", F.col("bid.price").alias("bid_price"), F.col("bid.agg_size").alias("bid_size"), F.col("ask.price").alias("ask_price"), F.col("ask.agg_size").alias("ask_size"))
