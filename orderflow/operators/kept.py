@@ -6,18 +6,21 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cut import cut
 from ..schemas import LEVEL
+from . import levels
 
 
 @dataclass(frozen=True)
 class SnapshotIndex:
-    """The book at every multiple of ``width`` numbers, and the changes after it, in folders by bucket of seq.
+    """Books as of any seq, in folders by bucket of ``width`` numbers and by run of buckets.
 
-    A book as of some seq is one bucket's snapshot and that bucket's changes up to it; other buckets are not read.
+    A state of a level lasts from one change to the next. Where it covers a part of a bucket it stands in that bucket's folder of
+    ``changes``; the whole buckets in between are split into dyadic runs (2^k buckets that begin at a multiple of it), two for each k at most,
+    and it stands once in each run's folder of ``snapshots``. A book as of some seq is its bucket's states that hold then, and those of
+    the log2(buckets) runs that its bucket lies in. Nothing is added up; other folders are not read.
     """
 
     spark: SparkSession
@@ -25,45 +28,58 @@ class SnapshotIndex:
     width: int
 
     def _table(self, name: str) -> DataFrame:
-        own = "agg_size long, num_orders long" if name == "snapshots" else "seq long, d_size long, d_orders long"
-        return self.spark.read.schema(f"symbol_idx int, side string, price long, {own}, bucket long").parquet(f"{self.folder}/{name}")
+        own = "from_seq long, to_seq long, " if name == "changes" else ""
+        return self.spark.read.schema(f"{own}symbol_idx int, side string, price long, agg_size long, num_orders long, bucket long").parquet(f"{self.folder}/{name}")
 
     def at(self, seq: int) -> DataFrame:
         """symbol_idx, side, price, agg_size, num_orders: levels with an order as of message ``seq``."""
         bucket = seq // self.width
-        start = self._table("snapshots").where(F.col("bucket") == bucket).select(*LEVEL, "agg_size", "num_orders")
-        after = self._table("changes").where((F.col("bucket") == bucket) & (F.col("seq") <= seq)).select(*LEVEL, F.col("d_size").alias("agg_size"), F.col("d_orders").alias("num_orders"))
-        return _net(start.unionByName(after), *LEVEL)
+        runs = [_run(k, bucket >> k) for k in range(bucket.bit_length())]
+        lasting = self._table("snapshots").where(F.col("bucket").isNotNull() & F.col("bucket").isin(runs))
+        own = self._table("changes").where((F.col("bucket") == bucket) & (F.col("from_seq") <= seq) & (F.col("to_seq") > seq))
+        return lasting.select(*LEVEL, "agg_size", "num_orders").unionByName(own.select(*LEVEL, "agg_size", "num_orders"))
 
     def at_many(self, wanted: DataFrame) -> DataFrame:
-        """The same for each ``at_seq`` of ``wanted``, with at_seq. Only buckets that are asked for take part, once for each that asks."""
+        """The same for each ``at_seq`` of ``wanted``, with at_seq. Only what is asked for takes part; the books are put out as they are joined, without a shuffle."""
         asked = wanted.select("at_seq", F.expr(f"at_seq div {self.width}").alias("bucket")).distinct()
-        start = self._table("snapshots").join(asked, "bucket").select("at_seq", *LEVEL, "agg_size", "num_orders")
-        after = self._table("changes").join(asked, "bucket").where("seq <= at_seq").select("at_seq", *LEVEL, F.col("d_size").alias("agg_size"), F.col("d_orders").alias("num_orders"))
-        return _net(start.unionByName(after), "at_seq", *LEVEL)
+        runs = asked.select("at_seq", F.explode(F.expr(f"transform(filter(sequence(0, 62), k -> shiftright(bucket, k) > 0), k -> {_RUN.format(k='k', i='shiftright(bucket, k)')})")).alias("bucket"))
+        runs = runs.distinct()  # its size is known before it is joined
+        lasting = self._table("snapshots").join(runs, "bucket").select("at_seq", *LEVEL, "agg_size", "num_orders")
+        own = self._table("changes").join(asked, "bucket").where("from_seq <= at_seq and at_seq < to_seq").select("at_seq", *LEVEL, "agg_size", "num_orders")
+        return lasting.unionByName(own)
 
 
-def _net(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("agg_size").alias("agg_size"), F.sum("num_orders").alias("num_orders")).where("num_orders > 0")
+#: Number of the run of 2^k buckets that begins at i * 2^k: each run has its own, however many there are.
+_RUN = "shiftleft(2 * {i} + 1, {k}) - 1"
+
+
+def _run(k: int, i: int) -> int:
+    return ((2 * i + 1) << k) - 1
 
 
 def index_snapshots(deltas: DataFrame, folder: str, width: int) -> SnapshotIndex:
     """Writes the index of ``deltas`` to ``folder``; seq starts at 0 or above.
 
-    A bucket's changes are summed by level first; the running sum over a level's buckets then has a row for each bucket at most, and a level
-    that does not change is repeated in the snapshots of the buckets that it lasts through. Changes are range-partitioned by seq, so that a bucket is few files.
+    A state is written once for each of its runs, so the index grows with the changes and the logarithm of the buckets, not with buckets times
+    levels. States are range-partitioned by folder, so that a folder is few files. Past the last change's bucket there is no book.
     """
-    spark, bucket = deltas.sparkSession, F.expr(f"seq div {width}").alias("bucket")
+    spark = deltas.sparkSession
     index = SnapshotIndex(spark, folder, width)
-    rows = deltas.select("seq", *LEVEL, "d_size", "d_orders", bucket)
-    rows.repartitionByRange("bucket").write.partitionBy("bucket").parquet(f"{folder}/changes")
-    last = index._table("changes").agg(F.max("bucket")).first()[0]
-    sums = rows.groupBy(*LEVEL, "bucket").agg(F.sum("d_size").alias("d_size"), F.sum("d_orders").alias("d_orders"))
-    level = W.partitionBy(*LEVEL).orderBy("bucket")
-    upto = level.rowsBetween(W.unboundedPreceding, 0)
-    ends = sums.select(*LEVEL, "bucket", F.sum("d_size").over(upto).alias("agg_size"), F.sum("d_orders").over(upto).alias("num_orders"), F.coalesce(F.lead("bucket").over(level), F.lit(last)).alias("until"))
-    lasting = ends.where("num_orders > 0 and until > bucket").select(*LEVEL, "agg_size", "num_orders", F.explode(F.sequence(F.col("bucket") + 1, F.col("until"))).alias("bucket"))
-    lasting.repartitionByRange("bucket").write.partitionBy("bucket").parquet(f"{folder}/snapshots")
+    history = cut(levels.history(deltas).select("seq", *LEVEL, "agg_size", "num_orders", "next_seq"))
+    end = ((history.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]) // width + 1) * width
+    states = history.where("num_orders > 0").withColumn("to_seq", F.coalesce("next_seq", F.lit(end))).where("to_seq > seq")
+    states = states.withColumns({"a": F.expr(f"seq div {width}"), "b": F.expr(f"to_seq div {width}")})
+    # the first bucket's part, and the last one's where there is another that it does not fill
+    first = f"struct(seq AS from_seq, least(to_seq, (a + 1) * {width}) AS to_seq, a AS bucket)"
+    last = f"struct(b * {width} AS from_seq, to_seq, b AS bucket)"
+    own = states.select(*LEVEL, "agg_size", "num_orders", F.explode(F.expr(f"filter(array({first}, IF(b > a, {last}, NULL)), x -> x.from_seq < x.to_seq)")).alias("x"))
+    own.select("x.from_seq", "x.to_seq", *LEVEL, "agg_size", "num_orders", "x.bucket").repartitionByRange("bucket").write.partitionBy("bucket").parquet(f"{folder}/changes")
+    # whole buckets from a + 1 to b: at 2^k the whole runs are those from ceil((a + 1) / 2^k) to floor(b / 2^k), and only an odd end is no part of a larger one
+    top = max(1, (end // width).bit_length())
+    ends = f"transform(sequence(0, {top}), k -> struct(k, shiftright(a + shiftleft(1L, k), k) AS lo, shiftright(b, k) AS hi))"
+    runs = "flatten(transform(filter(ends, e -> e.lo < e.hi), e -> filter(array(struct(e.k, e.lo AS i, e.lo % 2 = 1 AS odd), struct(e.k, e.hi - 1 AS i, e.hi % 2 = 1 AS odd)), n -> n.odd)))"
+    lasting = states.where("b > a + 1").withColumn("ends", F.expr(ends)).select(*LEVEL, "agg_size", "num_orders", F.explode(F.expr(runs)).alias("n"))
+    lasting.select(*LEVEL, "agg_size", "num_orders", F.expr(_RUN.format(k="n.k", i="n.i")).alias("bucket")).repartitionByRange("bucket").write.partitionBy("bucket").parquet(f"{folder}/snapshots")
     return index
 
 
