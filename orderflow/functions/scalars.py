@@ -15,8 +15,10 @@ def big_endian(data: Column, offset: int, width: int) -> Column:
 
 
 def big_endian_hex(value: Column, width: int) -> Column:
-    """The opposite: ``width`` bytes as hex digits."""
-    return F.lpad(F.hex(value.cast("long")), 2 * width, "0")
+    """The opposite: ``width`` bytes as hex digits. A number that they cannot hold is an error, never cut."""
+    value = value.cast("long")
+    digits = F.lpad(F.hex(value), 2 * width, "0")
+    return digits if width == 8 else F.when((value >= 0) & (value < 1 << 8 * width), digits).when(value.isNotNull(), F.raise_error(F.format_string(f"%d does not fit {width} bytes", value)))
 
 
 def fixed_text(data: Column, offset: int, width: int) -> Column:
